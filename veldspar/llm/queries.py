@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veldspar.llm import packing, simhash, warc
+from veldspar.llm import license_scan, packing, quality, simhash, warc
 from veldspar.storage import shared_dir
 
 
@@ -20,6 +20,29 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, _read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    label = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        label(base).alias("base_labels"),
+        label(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/veldspar/warc-{uuid.uuid4().hex}"
     warc.write_archives(_read(spark, sf_dir, "pages"), path)
