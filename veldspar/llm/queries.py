@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veldspar.llm import license_scan, packing, quality, simhash, warc
+from veldspar.llm import decontam, license_scan, packing, quality, sharding, simhash, warc
 from veldspar.storage import shared_dir
 
 
@@ -49,6 +49,23 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contained_windows(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"].cast("string"))))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontam.hit_words(F.col("hits")).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size(items) >= 2).alias("contaminated"),
+    )
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
