@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veldspar.llm import decontam, license_scan, packing, quality, sharding, simhash, warc
+from veldspar.llm import decontam, license_scan, line_dedup, packing, quality, sharding, simhash, substring, warc
 from veldspar.storage import shared_dir
 
 
@@ -49,6 +49,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contained_windows(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"].cast("string"))))
@@ -66,6 +70,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
