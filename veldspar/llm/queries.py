@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veldspar.llm import decontam, license_scan, line_dedup, packing, quality, sharding, simhash, substring, warc
+from veldspar.llm import ann, decontam, license_scan, line_dedup, packing, quality, sharding, simhash, substring, warc
 from veldspar.storage import shared_dir
 
 
@@ -43,6 +43,11 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/veldspar/warc-{uuid.uuid4().hex}"
     warc.write_archives(_read(spark, sf_dir, "pages"), path)
