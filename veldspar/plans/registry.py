@@ -6,14 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(run):
+        QUERIES[run.__name__] = run
+        if sql:
+            SQL[run.__name__] = sql
+        return run
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["suggest"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    from veldspar.plans import evidence, lift  # noqa: F401  they register themselves
+
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    return SQL
