@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -15,9 +16,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string, intact boolean"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the payload's SHA-1, from the hexadecimal digits: five are four letters."""
-    digest, letters = F.sha1(payload), []
+def base32(digest: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 in hexadecimal digits: five of them are four letters."""
+    letters = []
     for i in range(0, 40, 5):
         bits = F.conv(F.substring(digest, i + 1, 5), 16, 10).cast("int")
         letters += [F.substring(F.lit(_BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
@@ -48,8 +49,8 @@ def _uri(page_id: Column) -> Column:
 
 
 def record_text(date: str) -> Column:
-    """The WARC/1.1 record of a row (page_id, url, html, payload_digest, payload_bytes, record_type, refers_to). A
-    revisit has the HTTP header and no payload. White space and controls in a URL are percent-encoded."""
+    """The WARC/1.1 record of a row (page_id, url, html, payload_digest in hexadecimal digits,
+    payload_bytes, record_type, refers_to). A revisit has the HTTP header and no payload. White space and controls in a URL are percent-encoded."""
     revisit = F.col("record_type") == "revisit"
     url = F.col("url")
     for code in (*range(0x21), 0x7F):
@@ -59,7 +60,7 @@ def record_text(date: str) -> Column:
     return F.concat(
         F.lit(f"WARC/1.1{_END}WARC-Type: "), "record_type", F.lit(_END),
         _field("WARC-Record-ID", _uri(F.col("page_id"))), _field("WARC-Target-URI", url), F.lit(f"WARC-Date: {date}{_END}"),
-        F.lit("WARC-Payload-Digest: sha1:"), "payload_digest", F.lit(_END),
+        F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("payload_digest")), F.lit(_END),
         _field("WARC-Refers-To", F.when(revisit, _uri(F.col("refers_to")))), _field("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         F.lit(f"Content-Type: application/http; msgtype=response{_END}Content-Length: "), length.cast("string"), F.lit(_END + _END),
         http, F.when(revisit, F.lit("")).otherwise(F.coalesce("html", F.lit(""))),
@@ -69,17 +70,17 @@ def record_text(date: str) -> Column:
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", per_file: int = 2000) -> None:
     """Write a WARC record for each row of ``pages`` (page_id, url, html) into files under ``path``.
 
-    Spark's own text writer ends each record with the two line ends that the format asks for; its committer makes
+    The files are compressed by gzip, as archives are kept. Spark's own text writer ends each record with the two line ends that the format asks for; its committer makes
     sure that a task that is run again leaves no second copy. ``per_file`` bounds the records of a file.
     """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html").withColumns({"payload_digest": base32_sha1(payload), "payload_bytes": F.octet_length(payload).cast("long")})
+    rows = pages.select("page_id", "url", "html").withColumns({"payload_digest": F.sha1(payload), "payload_bytes": F.octet_length(payload).cast("long")})
     lines = resolve_revisits(rows, least_bytes).select(record_text(date).alias("value"))
-    lines.write.option("lineSep", _END + _END).option("maxRecordsPerFile", per_file).text(path)
+    lines.write.option("lineSep", _END + _END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def _records(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
-    at, raw = 0, bytes(data)
+    at, raw = 0, data.tobytes()
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
         lines = raw[at:end].decode("utf-8", "replace").split(_END)
@@ -105,7 +106,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for cell in batch.column(0):
                 out = []
-                for fields, block in _records(memoryview(cell.as_buffer())):
+                for fields, block in _records(memoryview(gzip.decompress(cell.as_buffer()))):
                     raw = bytes(block)
                     head = raw.index(b"\r\n\r\n") + 4
                     size = int(next(x for x in raw[:head].split(b"\r\n") if x.lower().startswith(b"content-length:")).partition(b":")[2])
