@@ -12,39 +12,82 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Tokens whose packing is decided together: 512 sequences of 2,048.
 BLOCK_TOKENS = 1 << 20
-#: Words whose ids a worker remembers before it forgets them all.
-REMEMBERED = 1 << 19
+#: Words, and parts of words, whose ids a worker remembers before it forgets them all.
+REMEMBERED = 700_000
 #: White space for str.split() but not for the tokenizer; a text with these is encoded whole.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Below this letter, lower-casing is letter by letter and no letters combine.
+_PLAIN = "\u0250"
 
 
 class WordEncoder:
     """Ids of whole texts, exactly as ``encode(text, add_special_tokens=False)`` gives them, as little-endian
-    uint32 bytes. For tokenizers that drop white space and never join what it parts: words are encoded once."""
+    uint32 bytes. For tokenizers that lower-case, drop white space, split words into parts by PARTS and mark the
+    last token of a part with ``</w>``: each part is encoded once, many in one call, and each word put together once."""
+
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.split = regex.compile(self.PARTS).findall
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        ids = self._encode(" ".join(parts))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(parts):
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.parts.update((p, raw[a:b]) for p, a, b in zip(parts, cuts, cuts[1:], strict=False))
+        else:
+            self.parts.update((p, self._encode(p).tobytes()) for p in parts)
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        plain = [w for w in words if max(w) < _PLAIN and "<|" not in w]
+        split = [self.split("".join(map(str.lower, w)) if not w.isascii() else w.lower()) for w in plain]
+        new = list({p for parts in split for p in parts}.difference(self.parts))
+        if new:
+            self._learn_parts(new)
+        part = self.parts.__getitem__
+        self.known.update((w, b"".join(map(part, parts))) for w, parts in zip(plain, split, strict=True))
+        self.known.update((w, self._encode(w).tobytes()) for w in words.difference(plain))
 
     def __call__(self, text: str) -> bytes:
         if _ODD.search(text):
-            return self._encode([text])[0]
+            return self._encode(text).tobytes()
         words = text.split()
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            if len(self.known) > REMEMBERED:
+            missing = set(words).difference(self.known)
+            if len(self.known) + len(missing) > REMEMBERED:
+                missing = set(words)
                 self.known.clear()
-            new = list({w for w in words if w not in self.known})
-            self.known.update(zip(new, self._encode(new), strict=True))
+            self._learn(missing)
             return b"".join(map(self.known.__getitem__, words))
 
 
+#: A worker's encoders by path: what one task has learnt serves the next.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def capacities(tokens: int, length: int) -> np.ndarray:
     """Full sequences, and the rest as powers of two, which need no padding."""
     rest = tokens % length
@@ -126,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = WordEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         task = TaskContext.get().partitionId()
         rows = ((key, encode(text or "") + end) for b in batches for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for text in [text.as_py()])
         for number, block in enumerate(_blocks(rows, BLOCK_TOKENS)):
