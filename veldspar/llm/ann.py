@@ -168,7 +168,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     dim = common.dim if common else 1
     clean, asked = (stage(x.where(F.size("vector") == dim), "vectors") for x in (clean, asked))
     sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas()
-    hashes = Hashes(dim, tables, near=_near(sample["vector"]), mass=mass, **kwargs)
+    near = _near(sample["vector"])
+    hashes = Hashes(dim, tables, near=near, mass=mass, **{"cell": 1.6 * near} | kwargs)
 
     def filed(batches):
         for pdf in batches:
