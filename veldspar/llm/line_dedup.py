@@ -17,6 +17,9 @@ from veldspar.storage import stage
 #: Bytes of a shingle, bands and rows of a band: two lines of similarity 0.8 share a band but once in 500 times.
 SHINGLE, BANDS, ROWS = 8, 12, 4
 SIMILARITY = 0.8
+#: Groups of more lines are compared pair by pair, leaving out pairs that are linked already; smaller ones all at
+#: once, in tables of so many cells.
+AT_ONCE, CELLS = 1024, 1 << 20
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -29,28 +32,55 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh64_intdigest(line, 42)
 
 
-def shingle_set(line: bytes, n: int = SHINGLE) -> set[bytes]:
-    return {line[i : i + n] for i in range(max(1, len(line) - n + 1))}
+def _shingles(buf: bytes) -> np.ndarray:
+    """All runs of SHINGLE bytes as numbers, big end first, read in place."""
+    return np.ndarray((len(buf) - SHINGLE + 1,), dtype=">u8", buffer=buf, strides=(1,))
 
 
-def jaccard(a: set[bytes], b: set[bytes]) -> float:
+def shingle_set(line: bytes) -> set[int]:
+    """The line's distinct shingles as numbers; a shorter line is one shingle, told from the others by its length."""
+    if len(line) < SHINGLE:
+        return {int.from_bytes(line) | (len(line) + 1) << 64}
+    return set(_shingles(line).tolist())
+
+
+def _owned(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of lines that have one at least, with repeats, and the index of each one's line."""
+    lens = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    found = _shingles(b"".join(lines))
+    inside, cuts = np.ones(len(found), dtype=bool), np.cumsum(lens)[:-1]
+    for i in range(1, SHINGLE):  # begins so near a line's end that it runs into the next line
+        inside[cuts - i] = False
+    return found[inside].astype(U64), np.repeat(np.arange(len(lines)), lens - SHINGLE + 1)
+
+
+def near_pairs(lines: list[bytes], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs whose shingle sets have at least the similarity: a product of the lines' 0-1 rows
+    over their shingles, some shingles at a time, counts what each two share."""
+    values, owner = _owned(lines)
+    order = np.argsort(values)
+    values, owner = values[order], owner[order]
+    column = np.cumsum(np.concatenate([[False], values[1:] != values[:-1]]))
+    both, width = np.zeros((len(lines), len(lines))), max(1, CELLS // len(lines))
+    for low in range(0, int(column[-1]) + 1, width):
+        part = slice(*np.searchsorted(column, [low, low + width]))
+        has = np.zeros((len(lines), min(width, int(column[-1]) + 1 - low)), dtype=np.float32)
+        has[owner[part], column[part] - low] = 1
+        both += has @ has.T
+    sizes = both.diagonal()
+    return np.nonzero(np.triu(both / (sizes[:, None] + sizes[None, :] - both) >= similarity, 1))
+
+
+def jaccard(a: set[int], b: set[int]) -> float:
     both = len(a & b)
     return both / (len(a) + len(b) - both)
 
 
-def signatures(lines: list[bytes], n: int = SHINGLE, slots: int = BANDS * ROWS) -> np.ndarray:
+def signatures(lines: list[bytes], slots: int = BANDS * ROWS) -> np.ndarray:
     """One-permutation MinHash, a row a line: each shingle's hash falls into one slot and the slot keeps the least.
     An empty slot borrows from another, chosen by a hash of the slot and the try, alike for all lines."""
-    lens = np.array([max(len(x), n) for x in lines])
-    buf = np.frombuffer(b"".join(x.ljust(n, b"\0") for x in lines), dtype=np.uint8).astype(U64)
-    h, base = buf[: len(buf) - n + 1].copy(), len(buf) - n + 1
-    for i in range(1, n):
-        h = (h << U64(8)) | buf[i : i + base]
+    h, owner = _owned([x.ljust(SHINGLE, b"\0") for x in lines])
     h = mix(h)
-    ends = np.cumsum(lens)
-    owner = np.repeat(np.arange(len(lines)), lens)[: len(h)]
-    inside = np.arange(len(h)) + n <= ends[owner]
-    h, owner = h[inside], owner[inside]
     slot = ((h >> U64(32)) * U64(slots)) >> U64(32)
     out = np.full(len(lines) * slots, _EMPTY, dtype=np.uint32)
     np.minimum.at(out, owner * slots + slot.astype(np.int64), (h & U64(0xFFFFFFFE)).astype(np.uint32))
@@ -79,7 +109,7 @@ def _lines(text: str | None) -> list[bytes]:
     return [normal(x) for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")]
 
 
-def _new_lines(batches: Iterator[pa.RecordBatch], size: int = 1024, remembered: int = 1 << 17) -> Iterator[tuple[list[int], list[bytes]]]:
+def _new_lines(batches: Iterator[pa.RecordBatch], size: int = 1024, room: int = 1 << 20, remembered: int = 1 << 17) -> Iterator[tuple[list[int], list[bytes]]]:
     """The distinct lines a task meets, some at a time: a line that comes again soon isn't sent twice."""
     seen: set[int] = set()
     hashes, lines, held = [], [], 0
@@ -92,7 +122,7 @@ def _new_lines(batches: Iterator[pa.RecordBatch], size: int = 1024, remembered:
                 hashes.append(h)
                 lines.append(line)
                 held += len(line)
-                if len(lines) >= size or held > 1 << 20:
+                if len(lines) >= size or held > room:
                     yield hashes, lines
                     hashes, lines, held = [], [], 0
             if len(seen) > remembered:
@@ -115,7 +145,7 @@ def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
     texts = docs.select(F.col(text_col).alias("text"))
 
     def keyed(batches):
-        for hashes, lines in _new_lines(batches):
+        for hashes, lines in _new_lines(batches, room=1 << 16):  # arrays that stay in the cache
             keys = band_keys(signatures(lines))
             flat = pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays([_longs(hashes), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), flat)], names=["h", "keys"])
@@ -125,17 +155,22 @@ def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
     def buckets(batches):
         for table in sorted_groups(batches):
             group, h = table.column("group").to_numpy(), table.column("h").to_numpy()
+            same = group[1:] == group[:-1]
+            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            group, h = group[shared], h[shared]  # most keys have one line
+            order = np.lexsort((h, group))
+            group, h = group[order], h[order]
             new = np.ones(len(h), dtype=bool)
             new[1:] = (group[1:] != group[:-1]) | (h[1:] != h[:-1])
             group, h = group[new], h[new]
-            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
             counts = np.diff(np.append(starts, len(h)))
             name = np.add.reduceat(mix(h.view(U64)), starts) if len(h) else np.zeros(0, dtype=U64)
             many = np.repeat(counts > 1, counts)
             if many.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, counts)[many].view(np.int64)), pa.array(h[many])], names=["bucket", "h"])
 
-    members = stage(by_group(dealt(bands, "key", "h"), ["h"], buckets, "bucket long, h long"), "members").distinct()
+    members = stage(by_group(dealt(bands, "key", "h"), [], buckets, "bucket long, h long"), "members").distinct()
 
     def fetched(batches):
         for hashes, lines in _new_lines(batches):
@@ -153,6 +188,10 @@ def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
             for low, high in zip(starts, starts[1:], strict=False):
                 lines_ = dict(zip(h[low:high].tolist(), text[low:high], strict=True))
                 ids = sorted(lines_, key=lambda i: (len(lines_[i]), i))
+                if len(ids) <= AT_ONCE and len(lines_[ids[0]]) >= SHINGLE:
+                    for found, side in zip(near_pairs([lines_[i] for i in ids], similarity), (src, dst), strict=True):
+                        side.extend(map(ids.__getitem__, found.tolist()))
+                    continue
                 sets, root = [shingle_set(lines_[i]) for i in ids], list(range(len(ids)))
 
                 def find(x, root=root):
@@ -172,10 +211,10 @@ def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
                 a, b = forest(np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
-    return by_group(rows, ["h"], compared, "src long, dst long").distinct()
+    return by_group(rows, [], compared, "src long, dst long").distinct()
 
 
-def _far(a: set[bytes], b: set[bytes], similarity: float) -> bool:
+def _far(a: set[int], b: set[int], similarity: float) -> bool:
     """Whether the sizes alone rule the similarity out."""
     return min(len(a), len(b)) < similarity * max(len(a), len(b))
 
