@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -86,6 +87,20 @@ def neighbours(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lag += 1
 
 
+def released(run: Callable) -> Callable:
+    """``run`` for mapInArrow; a worker, which later tasks and stages use again, then hands freed memory back."""
+
+    def then(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return then
+
+
 def by_group(df: DataFrame, order: list[str], run: Callable, schema: str) -> DataFrame:
     """``run`` over the rows of ``df`` shuffled by ``group`` and sorted, group after group."""
-    return df.repartition("group").sortWithinPartitions("group", *order).mapInArrow(run, schema)
+    return df.repartition("group").sortWithinPartitions("group", *order).mapInArrow(released(run), schema)

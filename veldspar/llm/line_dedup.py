@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from veldspar.llm._buckets import by_group, dealt, forest, sorted_groups
+from veldspar.llm._buckets import by_group, dealt, forest, released, sorted_groups
 from veldspar.llm._text import LOWER, U64, mix
 from veldspar.operators.graph import connected_components
 from veldspar.storage import stage
@@ -150,7 +150,7 @@ def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
             flat = pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays([_longs(hashes), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), flat)], names=["h", "keys"])
 
-    bands = stage(texts.mapInArrow(keyed, "h long, keys array<long>"), "bands").select("h", F.explode("keys").alias("key"))
+    bands = stage(texts.mapInArrow(released(keyed), "h long, keys array<long>"), "bands").select("h", F.explode("keys").alias("key"))
 
     def buckets(batches):
         for table in sorted_groups(batches):
@@ -176,7 +176,7 @@ def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
         for hashes, lines in _new_lines(batches):
             yield pa.RecordBatch.from_arrays([_longs(hashes), pa.array(lines, type=pa.binary())], names=["line_h", "line"])
 
-    lines = texts.mapInArrow(fetched, "line_h long, line binary")
+    lines = texts.mapInArrow(released(fetched), "line_h long, line binary")
     wanted = lines.join(members.select("h").distinct().hint("shuffle_hash"), F.col("line_h") == F.col("h"), "left_semi")
     rows = members.join(wanted, F.col("h") == F.col("line_h")).select(F.col("bucket").alias("group"), "h", "line")
 
@@ -239,7 +239,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 flat = _longs([h for hs in hashes for h in hs])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.cumsum([0, *map(len, hashes)]).astype(np.int32), flat)], names=["id", "hashes"])
 
-    occurrences = stage(texts.mapInArrow(listed, f"id {kind}, hashes array<long>"), "lines").select("id", F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
+    occurrences = stage(texts.mapInArrow(released(listed), f"id {kind}, hashes array<long>"), "lines").select("id", F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
     repeated = occurrences.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     named = repeated.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("component", "h"))
     firsts = named.groupBy("root").agg(F.min(F.struct("first")).getField("first").alias("keeper"), F.sum("n").alias("all")).where("`all` > 1")

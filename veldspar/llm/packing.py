@@ -5,15 +5,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from veldspar.llm._buckets import released
+
 #: Tokens whose packing is decided together: 512 sequences of 2,048.
 BLOCK_TOKENS = 1 << 20
-#: Words, and parts of words, whose ids a worker remembers before it forgets them all.
-REMEMBERED = 700_000
+#: Words, and parts of words, whose ids a worker remembers before it forgets all but those it met first, among them
+#: the frequent ones. This bounds memory and has no bearing on the ids.
+REMEMBERED, LASTING = 300_000, 100_000
 #: White space for str.split() but not for the tokenizer; a text with these is encoded whole.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Below this letter, lower-casing is letter by letter and no letters combine.
@@ -52,8 +56,7 @@ class WordEncoder:
             self.parts.update((p, self._encode(p).tobytes()) for p in parts)
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
+        self.parts = forgetful(self.parts)
         plain = [w for w in words if max(w) < _PLAIN and "<|" not in w]
         split = [self.split("".join(map(str.lower, w)) if not w.isascii() else w.lower()) for w in plain]
         new = list({p for parts in split for p in parts}.difference(self.parts))
@@ -71,13 +74,17 @@ class WordEncoder:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             missing = set(words).difference(self.known)
-            if len(self.known) + len(missing) > REMEMBERED:
-                missing = set(words)
-                self.known.clear()
+            if (kept := forgetful(self.known, len(missing))) is not self.known:
+                self.known, missing = kept, set(words).difference(kept)
             self._learn(missing)
             return b"".join(map(self.known.__getitem__, words))
 
 
+def forgetful(known: dict, more: int = 0) -> dict:
+    """``known``, or its first LASTING entries where it and ``more`` would be over REMEMBERED."""
+    return dict(islice(known.items(), LASTING)) if len(known) + more > REMEMBERED else known
+
+
 #: A worker's encoders by path: what one task has learnt serves the next.
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -179,4 +186,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*cells, strict=True)], names=names)
 
     cols = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
-    return cols.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
+    return cols.mapInArrow(released(run), ", ".join(f"`{n}` long" for n in names))
