@@ -17,7 +17,7 @@ from veldspar.llm._buckets import released
 BLOCK_TOKENS = 1 << 20
 #: Words, and parts of words, whose ids a worker remembers before it forgets all but those it met first, among them
 #: the frequent ones. This bounds memory and has no bearing on the ids.
-REMEMBERED, LASTING = 300_000, 100_000
+REMEMBERED, LASTING = 450_000, 200_000
 #: White space for str.split() but not for the tokenizer; a text with these is encoded whole.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Below this letter, lower-casing is letter by letter and no letters combine.
