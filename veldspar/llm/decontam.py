@@ -48,8 +48,8 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def contained_windows(docs: DataFrame, items: DataFrame, size: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Return a row for each id: id_col, n_words, hits; hits lists (item, start, length) for every place where an
-    item's window of ``size`` words stands in the document, whole and in order.
+    """Return a row for each id: id_col, n_words, hits; hits lists (item, start, length, window) for every place where
+    an item's window of ``size`` words stands in the document, whole and in order; window is a hash of its words.
 
     A set join with full containment: of a window's shingles, ordered by how rare they are in all documents, the
     necessary prefix is the rarest one alone. So documents are joined on those only; the shingle's place in the
@@ -91,7 +91,7 @@ def contained_windows(docs: DataFrame, items: DataFrame, size: int = 8, id_col:
     n, start = place(F.col("at"))
     first = start - F.col("offset")
     exact = (n == F.col("n")) & (first >= 0) & (first + F.col("length") <= runs) & (F.slice("words", F.greatest(first, F.lit(0)) + 1, F.greatest(F.col("length"), F.lit(1))) == F.col("window"))
-    kept = found.where((F.col("hash") == _ITSELF) | exact).select("id", runs.alias("n_words"), F.when(F.col("hash") != _ITSELF, F.struct("item", first.alias("start"), F.col("length").alias("length"))).alias("hit"))
+    kept = found.where((F.col("hash") == _ITSELF) | exact).select("id", runs.alias("n_words"), F.when(F.col("hash") != _ITSELF, F.struct("item", first.alias("start"), F.col("length").alias("length"), F.xxhash64("window").alias("window"))).alias("hit"))
     return kept.groupBy(F.col("id").alias(id_col)).agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set("hit").alias("hits"))
 
 
@@ -103,14 +103,24 @@ def hit_words(hits: Column) -> Column:
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 8, id_col: str = "doc_id", item_col: str = "item_id", **kwargs) -> DataFrame:
     """(id_col, item, containment): documents with a stretch as long as the item that holds at least ``threshold``
-    of the item's windows. Hits of an item are dealt to overlapping stretches of up to twice the item's length."""
+    of the item's different windows; containment is the largest such share.
+
+    A stretch takes the windows that begin within as many words as the item has. Hits are dealt to overlapping
+    pieces of twice that length, so each stretch lies whole in one of them; only pieces with hits enough are then
+    looked through exactly, a stretch from each of their hits. What is held is bounded by the item's length.
+    """
     found = contained_windows(docs, items, size, id_col, item_col=item_col, **kwargs)
-    total = windows(items, size, item_col, kwargs.get("item_text", "text")).groupBy("item").agg(F.count(F.lit(1)).alias("total"), F.max("length").alias("longest"))
-    hits = found.select(F.col(id_col).alias("id"), F.explode("hits").alias("hit")).select("id", "hit.item", "hit.start").join(_small(total), "item")
-    width = F.col("total") + F.col("longest")
-    stretch = F.explode(F.array(F.floor(F.col("start") / width), F.floor(F.col("start") / width) - 1)).alias("stretch")
-    share = hits.select("id", "item", "start", "total", stretch).groupBy("id", "item", "total", "stretch").agg(F.count_distinct("start").alias("n"))
-    return share.groupBy("id", "item").agg(F.max(F.least(F.col("n") / F.col("total"), F.lit(1.0))).alias("containment")).where(F.col("containment") >= threshold).select(F.col("id").alias(id_col), "item", "containment")
+    item_text = kwargs.get("item_text", "text")
+    total = windows(items, size, item_col, item_text).groupBy("item").agg(F.count(F.lit(1)).alias("total"))
+    width = items.select(F.col(item_col).alias("item"), F.size(words(item_text)).alias("width")).groupBy("item").agg(F.max("width").alias("width"))
+    hits = found.select(F.col(id_col).alias("id"), F.explode("hits").alias("hit")).select("id", "hit.*").join(_small(total.join(width, "item")), "item")
+    turn = F.floor(F.col("start") / F.col("width"))
+    pieces = hits.withColumn("piece", F.explode(F.array(turn, turn - 1))).groupBy("id", "item", "total", "width", "piece").agg(F.sort_array(F.collect_set(F.struct("start", "window"))).alias("hits"))
+    enough = F.col("total") * threshold
+    within = lambda h: F.filter("hits", lambda x: (x["start"] >= h["start"]) & (x["start"] < h["start"] + F.col("width")))
+    held = F.array_max(F.transform("hits", lambda h: F.size(F.array_distinct(F.transform(within(h), lambda x: x["window"])))))
+    best = pieces.where(F.size("hits") >= enough).withColumn("held", held).where(F.col("held") >= enough)
+    return best.groupBy("id", "item").agg(F.max(F.col("held") / F.col("total")).alias("containment")).select(F.col("id").alias(id_col), "item", "containment")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
