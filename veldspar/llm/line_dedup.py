@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from veldspar.llm._buckets import by_group, dealt, forest, released, sorted_groups
+from veldspar.llm._columns import free
 from veldspar.llm._text import LOWER, U64, mix
 from veldspar.operators.graph import connected_components
 from veldspar.storage import stage
@@ -225,7 +226,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines whose sets of SHINGLE-byte shingles, white space at the ends and case apart, have at least the
     similarity are linked; of each component the first line stays: that of the smallest id, there the topmost.
     Blank lines stay. Rows with one id each keep their first. Rows with a null id, null and empty texts come back
-    as they are, with n_removed 0; texts are cut at line feeds only, and what is kept is joined by them.
+    as they are, with n_removed 0; texts are cut at line feeds only, and what is kept is joined by them. Columns
+    n_lines and n_removed that ``docs`` has already give way to the new ones; all others come back unchanged.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     roots = connected_components(line_links(docs.where(F.col(id_col).isNotNull()), text_col, similarity))
@@ -268,6 +270,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(("\n".join(kept) if len(kept) < len(parts) else t, len(parts), len(parts) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
-    joined = docs.join(touched.select(F.col("id").alias("_id"), F.col("lines").alias("_lines")).hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
-    done = joined.withColumn("_new", rewritten(F.col(text_col), F.col("_lines")))
-    return done.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("_new.n_lines").cast("long").alias("n_lines"), F.col("_new.n_removed").cast("long").alias("n_removed"))
+    key, lines, new = (free(name, docs) for name in ("_id", "_lines", "_new"))
+    joined = docs.join(touched.select(F.col("id").alias(key), F.col("lines").alias(lines)).hint("shuffle_hash"), F.col(id_col) == F.col(key), "left")
+    done = joined.withColumn(new, rewritten(F.col(text_col), F.col(lines)))
+    counts = ("n_lines", "n_removed")
+    kept = [F.col(f"{new}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in counts]
+    return done.select(*kept, *[F.col(f"{new}.{c}").cast("long").alias(c) for c in counts])
+

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from veldspar.llm._columns import free
 from veldspar.llm._text import NOT_SPACE, spans
 
 FEATURES = ["log_bytes", "upper", "digits", "above_ascii", "marks", "strange_marks", "top_mark", "mark_kinds", "bars", "spaces", "word_length", "word_spread", "long_words", "short_words", "marked_words", "distinct_words", "log_lines", "repeated_lines", "line_length", "squeezed", "middle_squeezed", "bangs"]
@@ -204,17 +205,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return fit(values, found["_label"].to_numpy())
 
 
-def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the model's probability of label 1 for the whole text. Null and empty texts score
-    as a text with all features 0."""
+def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with column ``into``, the model's probability of label 1 for the whole text. Null and empty texts
+    score as a text with all features 0. A column of that name that ``docs`` has already gives way."""
 
     @F.pandas_udf(DoubleType())
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.stack([features(t) for t in texts]))) if len(texts) else pd.Series([], dtype=float)
 
-    return docs.withColumn("score", run(F.col(text_col)))
+    return docs.withColumn(into, run(F.col(text_col)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **kwargs) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``."""
-    return score(docs, fit_quality(docs, labels, **kwargs)).where(F.col("score") >= threshold).select(*docs.columns)
+    into = free("score", docs)
+    return score(docs, fit_quality(docs, labels, **kwargs), kwargs.get("text_col", "text"), into).where(F.col(into) >= threshold).select(*docs.columns)
