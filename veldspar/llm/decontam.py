@@ -8,6 +8,9 @@ from veldspar.storage import stage
 
 #: Words of a shingle, the tokens that are joined.
 SHINGLE = 3
+#: A document holds an item if it has this share of its words, in windows of SHINGLE words in one stretch: a wrong word
+#: costs at most SHINGLE of them. An item of so few words must be whole.
+SHARE, WHOLE = 2 / 3, 8
 #: Rows of an item-side table that may be broadcast; beyond, the join is a shuffled one.
 BROADCAST_ROWS = 400_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,10 +85,14 @@ def contained_windows(docs: DataFrame, items: DataFrame, size: int = 8, id_col:
             n, start, base = F.when(inside, F.lit(k)).otherwise(n), F.when(inside, at - base).otherwise(start), base + size_
         return n, start
 
-    wanted = _small(tokens.select("hash").distinct())
-    seen = split.select("id", F.posexplode_outer(spread).alias("at", "hash")).join(wanted, "hash").groupBy("hash").agg(F.count(F.lit(1)).alias("seen"))
-    ranked = tokens.join(stage(seen, "rarity"), "hash", "left").groupBy("item", "window", "length", "n").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "hash", "offset")).alias("rarest"))
-    prefix = stage(ranked.where("rarest.seen > 0").select("item", "window", "length", "n", F.col("rarest.hash").alias("hash"), F.col("rarest.offset").alias("offset")), "prefix")
+    if size <= shingle:  # a window is one shingle: nothing to rank
+        ranked = tokens.select("item", "window", "length", "n", "hash", "offset")
+    else:
+        wanted = _small(tokens.select("hash").distinct())
+        seen = split.select("id", F.posexplode_outer(spread).alias("at", "hash")).join(wanted, "hash").groupBy("hash").agg(F.count(F.lit(1)).alias("seen"))
+        ranked = tokens.join(stage(seen, "rarity"), "hash", "left").groupBy("item", "window", "length", "n").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "hash", "offset")).alias("rarest"))
+        ranked = ranked.where("rarest.seen > 0").select("item", "window", "length", "n", F.col("rarest.hash").alias("hash"), F.col("rarest.offset").alias("offset"))
+    prefix = stage(ranked, "prefix")
     itself = docs.sparkSession.range(1).select(F.lit(None).cast(prefix.schema["item"].dataType).alias("item"), F.lit(None).cast("array<string>").alias("window"), F.lit(0).alias("length"), F.lit(0).alias("n"), F.lit(_ITSELF).cast("long").alias("hash"), F.lit(0).alias("offset"))
     found = split.select("id", "words", F.posexplode_outer(spread).alias("at", "hash")).join(_small(prefix.unionByName(itself)), "hash")
     n, start = place(F.col("at"))
@@ -101,26 +108,33 @@ def hit_words(hits: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(each)))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 8, id_col: str = "doc_id", item_col: str = "item_id", **kwargs) -> DataFrame:
-    """(id_col, item, containment): documents with a stretch as long as the item that holds at least ``threshold``
-    of the item's different windows; containment is the largest such share.
+def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SHARE, size: int = SHINGLE, id_col: str = "doc_id", item_col: str = "item_id", **kwargs) -> DataFrame:
+    """(id_col, item, containment): documents with a stretch as long as the item whose windows cover at least
+    ``threshold`` of the item's words; containment is the largest such share. An item of WHOLE words or fewer must
+    be covered whole.
 
-    A stretch takes the windows that begin within as many words as the item has. Hits are dealt to overlapping
-    pieces of twice that length, so each stretch lies whole in one of them; only pieces with hits enough are then
-    looked through exactly, a stretch from each of their hits. What is held is bounded by the item's length.
+    A stretch takes the windows that lie in as many words as the item has. What they cover is counted in the item
+    and in the stretch and the lesser counts, so that one window that repeats in either isn't a passage. Hits are
+    dealt to overlapping pieces of twice that length, so each stretch lies whole in one of them; only pieces with
+    hits enough are then looked through exactly, a stretch from each of their hits. What is held is bounded by the
+    item's length.
     """
     found = contained_windows(docs, items, size, id_col, item_col=item_col, **kwargs)
-    item_text = kwargs.get("item_text", "text")
-    total = windows(items, size, item_col, item_text).groupBy("item").agg(F.count(F.lit(1)).alias("total"))
-    width = items.select(F.col(item_col).alias("item"), F.size(words(item_text)).alias("width")).groupBy("item").agg(F.max("width").alias("width"))
-    hits = found.select(F.col(id_col).alias("id"), F.explode("hits").alias("hit")).select("id", "hit.*").join(_small(total.join(width, "item")), "item")
+    split = items.select(F.col(item_col).alias("item"), words(kwargs.get("item_text", "text")).alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))
+    placed = split.select("item", "words", F.explode(starts).alias("at")).select("item", F.xxhash64(F.slice("words", F.col("at") + 1, size)).alias("window"), "at")
+    width = split.groupBy("item").agg(F.max(F.size("words")).alias("width"))
+    places = placed.groupBy("item", "window").agg(F.sort_array(F.collect_set("at")).alias("places")).join(width, "item")
+    hits = found.select(F.col(id_col).alias("id"), F.explode("hits").alias("hit")).select("id", "hit.*").join(_small(places), ["item", "window"])
     turn = F.floor(F.col("start") / F.col("width"))
-    pieces = hits.withColumn("piece", F.explode(F.array(turn, turn - 1))).groupBy("id", "item", "total", "width", "piece").agg(F.sort_array(F.collect_set(F.struct("start", "window"))).alias("hits"))
-    enough = F.col("total") * threshold
-    within = lambda h: F.filter("hits", lambda x: (x["start"] >= h["start"]) & (x["start"] < h["start"] + F.col("width")))
-    held = F.array_max(F.transform("hits", lambda h: F.size(F.array_distinct(F.transform(within(h), lambda x: x["window"])))))
-    best = pieces.where(F.size("hits") >= enough).withColumn("held", held).where(F.col("held") >= enough)
-    return best.groupBy("id", "item").agg(F.max(F.col("held") / F.col("total")).alias("containment")).select(F.col("id").alias(id_col), "item", "containment")
+    pieces = hits.withColumn("piece", F.explode(F.array(turn, turn - 1))).groupBy("id", "item", "width", "piece").agg(F.sort_array(F.collect_set(F.struct("start", "length", "places"))).alias("hits"))
+    share = F.when(F.col("width") > WHOLE, F.lit(threshold)).otherwise(1.0)
+    within = lambda h: F.filter("hits", lambda x: (x["start"] >= h["start"]) & (x["start"] + x["length"] <= h["start"] + F.col("width")))
+    in_item = lambda hs: hit_words(F.flatten(F.transform(hs, lambda x: F.transform(x["places"], lambda p: F.struct(p.alias("start"), x["length"].alias("length"))))))
+    held = F.array_max(F.transform("hits", lambda h: F.least(in_item(within(h)), hit_words(within(h)))))
+    enough = pieces.where(F.size("hits") * size >= F.col("width") * share)
+    best = enough.withColumn("containment", held / F.col("width")).where(F.col("containment") >= share)
+    return best.groupBy(F.col("id").alias(id_col), "item").agg(F.max("containment").alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
