@@ -58,3 +58,24 @@ def dot(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """``v`` over its length; a zero vector stays zero."""
     return F.transform(v, lambda x: x / F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)))
+
+
+def local_path(path: Column) -> Column:
+    """A path without its scheme and host."""
+    return F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?", "")
+
+
+#: What an answer must hold to.
+RULES = (
+    "Explain in one or two sentences, from the evidence above alone.",
+    "Name no item that isn't listed and no label but the predicted one and those listed.",
+    "Add nothing about the item's content, product or audience.",
+    "Call a similarity high only if its number is.",
+    'Answer with JSON of this shape and nothing else: {"rationale": "..."}',
+)
+
+
+def prompt(persona: Column, score: Column, evidence: Column) -> Column:
+    """The question put to a language model: label, score, evidence as JSON (all of the array's fields) and RULES."""
+    told = F.format_string("A model has predicted a label for an item.\nLabel: %s\nScore: %.4f\nEvidence:\n", persona, score)
+    return F.concat(told, F.to_json(evidence), F.lit("\nRules:\n" + "\n".join(f"- {rule}" for rule in RULES)))

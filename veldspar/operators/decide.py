@@ -4,21 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veldspar.storage import stage
+
+
+#: Labels of one study. Beyond, scores for each query and label would be the wrong table.
+MAX_LABELS = 10_000
+
+
+def label_names(vocabulary: DataFrame) -> list[str]:
+    """The labels, in order; a ValueError where there are more than MAX_LABELS, as none may be left out."""
+    names = sorted(r[0] for r in vocabulary.distinct().limit(MAX_LABELS + 1).collect())
+    if len(names) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    return names
+
 
 def knn_scores(neighbours: DataFrame, labels: DataFrame, vocabulary: DataFrame, k: int, squared: bool = False) -> DataFrame:
     """(query, persona, score): the share of the k nearest's weight, max(similarity, 0), that has the label.
 
-    ``neighbours``: (query, id, similarity, rank); ``labels``: (id, persona); ``vocabulary``: (persona), small. A
-    query whose weights sum to zero scores 0 throughout.
+    ``neighbours``: (query, id, similarity, rank); ``labels``: (id, persona); ``vocabulary``: (persona), of MAX_LABELS
+    at most, as each query has a row for each label. A query whose weights sum to zero scores 0 throughout.
     """
+    names = label_names(vocabulary)
     near = neighbours.where(F.col("rank") <= k).withColumn("w", F.greatest("similarity", F.lit(0.0)))
     near = near.withColumn("w", F.col("w") * F.col("w")) if squared else near
     total = near.groupBy("query").agg(F.sum("w").alias("total"))
     votes = near.join(labels, "id").groupBy("query", "persona").agg(F.sum("w").alias("w"))
-    full = total.crossJoin(F.broadcast(vocabulary.limit(1000)))
+    full = total.withColumn("persona", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
     return full.join(votes, ["query", "persona"], "left").select("query", "persona", F.when(F.col("total") > 0, F.coalesce("w", F.lit(0.0)) / F.col("total")).otherwise(0.0).alias("score"))
 
 
+def knn_grid(neighbours: DataFrame, labels: DataFrame, vocabulary: DataFrame, ks: list[int], powers: list[int]) -> DataFrame:
+    """(k, power, query, persona, score): ``knn_scores`` for each k and each power of the weight, from one retrieval of
+    the largest k and one pass over it."""
+    names = label_names(vocabulary)
+    settings = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("power")) for k in ks for p in powers]), lambda x: x["k"] >= F.col("rank")))
+    near = neighbours.where(F.col("rank") <= max(ks)).withColumn("_s", settings).select("query", "id", "_s.k", "_s.power", F.pow(F.greatest("similarity", F.lit(0.0)), F.col("_s.power")).alias("w"))
+    total = near.groupBy("k", "power", "query").agg(F.sum("w").alias("total")).withColumn("persona", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
+    votes = near.join(labels, "id").groupBy("k", "power", "query", "persona").agg(F.sum("w").alias("w"))
+    score = F.when(F.col("total") > 0, F.coalesce("w", F.lit(0.0)) / F.col("total")).otherwise(0.0)
+    return total.join(votes, ["k", "power", "query", "persona"], "left").select("k", "power", "query", "persona", score.alias("score"))
+
+
 def ranked(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "persona")))
 
@@ -66,7 +93,9 @@ def counts(judged: DataFrame, *by: str) -> DataFrame:
 
 
 def multilabel(judged: DataFrame, *by: str) -> DataFrame:
-    """Macro, micro and weighted F1, Hamming loss and subset accuracy of (query, persona, predicted, actual)."""
+    """Macro, micro and weighted F1, Hamming loss and subset accuracy of (query, persona, predicted, actual), which is
+    staged, as it is summed up by label and by query."""
+    judged = stage(judged.select(*by, "query", "persona", "predicted", "actual"), "judged")
     per = counts(judged, *by, "persona")
     support = F.col("tp") + F.col("fn")
     s = lambda c: F.sum(c)

@@ -7,15 +7,23 @@ from pyspark.sql import DataFrame, functions as F
 from veldspar.storage import stage
 
 
+def joined_back(rows: DataFrame, key: str, sums: DataFrame, sums_key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with what was summed up by their own key. A join straight on an aggregate runs in the aggregate's
+    stage, where all rows of a key meet in one task; from a staged table both sides are shuffled for the join alone,
+    and Spark deals a hot key's rows to several tasks."""
+    return rows.join(stage(sums, "sums"), F.col(key) == F.col(sums_key), how).drop(sums_key)
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:
-    """Each row (at, to) with the least of ``at`` and all its ``to``; the sum is taken before the shuffle, so a
-    hub costs one row a task, and the join back can be split where a hub is large."""
-    least = pairs.groupBy("at").agg(F.least(F.min("to"), F.first("at")).alias("least"))
-    return pairs.join(least, "at")
+    """Each row (at, to) with the least of ``at`` and all its ``to``. Minima are taken before the shuffle, so a hub
+    costs one row a task; they are staged, so that the join back shuffles both sides anew and Spark can split it
+    where a hub is large."""
+    least = pairs.groupBy(F.col("at").alias("_at")).agg(F.min("to").alias("_to"))
+    return joined_back(pairs, "at", least, "_at").select("at", "to", F.least("at", "_to").alias("least"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:

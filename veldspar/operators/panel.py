@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -41,14 +43,81 @@ def pretrend(weeks: DataFrame, *by: str) -> DataFrame:
     return _clustered(dem, 1, *by)
 
 
+def geo_trends(weeks: DataFrame) -> DataFrame:
+    """(geo, slope, intercept, r_squared, n, se): a line through each treated geo's weeks; se is null below three."""
+    y, x = "value", "week_index"
+    sxx, n = F.regr_sxx(y, x), F.count(F.lit(1))
+    rest = F.regr_syy(y, x) - F.try_divide(F.regr_sxy(y, x) * F.regr_sxy(y, x), sxx)
+    fit = weeks.where("treated = 1").groupBy("geo").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r_squared"), n.alias("n"), rest.alias("_rest"), sxx.alias("_sxx"))
+    se = F.sqrt(F.try_divide(F.greatest("_rest", F.lit(0.0)), (F.col("n") - 2) * F.col("_sxx")))
+    return fit.withColumn("se", F.when(F.col("n") > 2, se)).drop("_rest", "_sxx")
+
+
+def student_p(t: float, freedom: float) -> float:
+    """Two-sided p of Student's distribution: the incomplete beta function's continued fraction, by Lentz's method."""
+    x, a, b = freedom / (freedom + t * t), freedom / 2, 0.5
+    if x >= 1 or x <= 0:
+        return 1.0 if x >= 1 else 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+    if x > (a + 1) / (a + b + 2):
+        return 1 - front * _fraction(b, a, 1 - x) / b
+    return front * _fraction(a, b, x) / a
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    up, down, out = 1.0, 1 / (1 - (a + b) * x / (a + 1)), 0.0
+    out = down
+    for m in range(1, 300):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            down, up = 1 / (1 + k * down), 1 + k / up
+            out *= down * up
+        if abs(down * up - 1) < 1e-15:
+            break
+    return out
+
+
+def student_quantile(p: float, freedom: float) -> float:
+    """The t whose two-sided p is ``p``, by halving."""
+    low, high = 0.0, 1.0
+    while student_p(high, freedom) > p:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if student_p(mid, freedom) > p else (low, mid)
+    return low
+
+
+def with_student(trends: DataFrame, level: float = 0.9) -> DataFrame:
+    """``geo_trends`` with low, high and p_value, n - 2 degrees of freedom; null where there is no error."""
+
+    @F.pandas_udf("low double, high double, p_value double")
+    def run(slope: pd.Series, se: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for s, e, k in zip(slope, se, n, strict=True):
+            if e is None or not e > 0:
+                out.append((None, None, None))
+            else:
+                half = student_quantile(1 - level, k - 2) * e
+                out.append((s - half, s + half, student_p(s / e, k - 2)))
+        return pd.DataFrame(out, columns=["low", "high", "p_value"])
+
+    return trends.withColumn("_t", run("slope", "se", "n")).select("*", "_t.*").drop("_t")
+
+
+def spread(effects_: DataFrame) -> DataFrame:
+    """least, most, mean and deviation of the column effect."""
+    return effects_.agg(F.min("effect").alias("least"), F.max("effect").alias("most"), F.avg("effect").alias("mean"), F.stddev_samp("effect").alias("deviation"))
+
+
 def _clustered(dem: DataFrame, extra: int, *by: str, dates: int = 0) -> DataFrame:
     beta = dem.groupBy(*by).agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x"))).alias("coefficient"))
     fit = dem.join(F.broadcast(beta), list(by)) if by else dem.crossJoin(F.broadcast(beta))
     per = fit.groupBy(*by, "geo").agg(F.sum(F.col("x") * (F.col("y") - F.col("coefficient") * F.col("x"))).alias("u"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.count(F.lit(1)).alias("n"), F.first("coefficient").alias("coefficient"))
     g, n = F.count(F.lit(1)), F.sum("n")
     k = g + extra + dates
-    se = F.sqrt(F.sum(F.col("u") * F.col("u")) * (g / (g - 1)) * ((n - 1) / (n - k))) / F.sum("sxx")
-    return per.groupBy(*by).agg(F.first("coefficient").alias("coefficient"), se.alias("se")).withColumn("z", F.col("coefficient") / F.col("se"))
+    factor = F.try_divide(g * (n - 1), (g - 1) * (n - k))  # null where nothing is left to estimate errors from
+    se = F.try_divide(F.sqrt(F.sum(F.col("u") * F.col("u")) * F.when(factor > 0, factor)), F.sum("sxx"))
+    return per.groupBy(*by).agg(F.first("coefficient").alias("coefficient"), se.alias("se")).withColumn("z", F.try_divide("coefficient", "se"))
 
 
 def twfe(panel: DataFrame, dates: int, value: str = "revenue", x: Column | None = None) -> DataFrame:
@@ -59,6 +128,18 @@ def twfe(panel: DataFrame, dates: int, value: str = "revenue", x: Column | None
     return _clustered(base.withColumns({"x": of("_x"), "y": of("_y")}), 0, dates=dates)
 
 
+#: Geos of one study. Its Gram matrix is held on the driver.
+MAX_GEOS = 2000
+
+
+def geo_names(panel: DataFrame) -> list:
+    """The panel's geos, in order; a ValueError where there are more than MAX_GEOS, as none may be left out."""
+    names = sorted(r.geo for r in panel.select("geo").distinct().limit(MAX_GEOS + 1).collect())
+    if len(names) > MAX_GEOS:
+        raise ValueError(f"a study has at most {MAX_GEOS} geos")
+    return names
+
+
 def gram(panel: DataFrame) -> DataFrame:
     """(g, h, s): sums over days before treatment of products of geos' revenues; all fits need no more than this."""
     pre = panel.where("post = 0")
@@ -102,13 +183,12 @@ def _scenario_fits(scenarios: list[tuple[int, list, list]], panel: DataFrame) ->
     """(scenario, geo, weight): one fit a scenario (number, treated, donors), spread over tasks. The Gram matrix has
     a row for each pair of geos of one study; it is collected, bounded by MAX_GEOS."""
     spark = panel.sparkSession
-    geos = sorted(r.geo for r in panel.select("geo").distinct().limit(MAX_GEOS + 1).collect())
-    if len(geos) > MAX_GEOS:
-        raise ValueError(f"a study has at most {MAX_GEOS} geos")
+    geos = geo_names(panel)
     at = {g: i for i, g in enumerate(geos)}
     s, m = np.zeros((len(geos), len(geos))), np.zeros(len(geos))
-    for r in gram(panel).collect():
-        s[at[r.g], at[r.h]] = r.s
+    rows = gram(panel).groupBy("g").agg(F.collect_list("h").alias("h"), F.collect_list("s").alias("s"))  # a row for each geo
+    for r in rows.collect():
+        s[at[r.g], [at[h] for h in r.h]] = r.s
     for r in panel.where("post = 0").groupBy("geo").agg(F.avg("revenue").alias("m")).collect():
         m[at[r.geo]] = r.m
 
@@ -122,9 +202,6 @@ def _scenario_fits(scenarios: list[tuple[int, list, list]], panel: DataFrame) ->
     return spark.createDataFrame(rows, "scenario int, geo long, role string").groupBy("scenario").applyInPandas(run, "scenario int, geo long, weight double").where("weight > 1e-4")
 
 
-MAX_GEOS = 2000
-
-
 def counterfactual(panel: DataFrame, treated: DataFrame, weights: DataFrame) -> DataFrame:
     """(scenario, day, post, actual, synthetic, gap); treated and weights by scenario, (scenario, geo[, weight])."""
     means = panel.where("post = 0").groupBy("geo").agg(F.avg("revenue").alias("m"))

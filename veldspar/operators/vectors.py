@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veldspar.functions.text import dot, unit
+from veldspar.operators.contracts import known
 
 #: Vectors of a block; a task holds two blocks and their product.
 BLOCK = 1024
@@ -56,10 +57,16 @@ def pairs(vectors: DataFrame, threshold: float | None = None) -> DataFrame:
     return rows.groupBy("p", "q").applyInPandas(run, "a long, b long, similarity double")
 
 
+def distances(vectors: DataFrame) -> DataFrame:
+    """(a, b, distance): 1 - similarity of all unordered pairs, the condensed form of a distance matrix."""
+    return pairs(vectors).select("a", "b", (1 - F.col("similarity")).alias("distance"))
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(query, id, similarity, rank): each query's k nearest items but itself; on similarity to nine places, then
     the smaller id. Blocks give their own k best, so what is shuffled is k rows a query and block."""
     n_q, n_v = _count(queries), _count(items)
+    kinds = queries.schema["id"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
     left, right = _blocks(queries, "qb", "vb", n_q, n_v), _blocks(items, "vb", "qb", n_v, n_q)
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -73,13 +80,14 @@ def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
         out = pd.DataFrame({"query": np.repeat(x["id"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()})
         return out[out["similarity"] > -9]
 
-    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(run, "query long, id long, similarity double")
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(run, f"query {kinds[0]}, id {kinds[1]}, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def pair_similarity(pairs_: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``pairs_`` (a, b, ...) with the dot product of their vectors; pairs with an unknown id are left out."""
+    """``pairs_`` (a, b, ...) with the dot product of their vectors; a ValueError where an id is unknown."""
+    known(pairs_, ["a", "b"], vectors)
     x = vectors.select(F.col("id").alias("a"), F.col("vector").alias("_x"))
     y = vectors.select(F.col("id").alias("b"), F.col("vector").alias("_y"))
     return pairs_.join(x, "a").join(y, "b").withColumn("similarity", dot(F.col("_x"), F.col("_y"))).drop("_x", "_y")

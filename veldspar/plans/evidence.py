@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from veldspar.functions import text as T
-from veldspar.operators import decide as D, vectors as V
+from veldspar.operators import contracts as C, decide as D, logistic as L, split as S, vectors as V
 from veldspar.plans.registry import query, read
+from veldspar.sources import tables
+from veldspar.storage import stage
 
 EDGE, K = 0.35, 5
 SUGGEST, CAUTION, MARGIN = 0.5, 0.3, 0.05
@@ -73,9 +75,10 @@ def scan_contract(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("vec_id")).alias("repeated"), F.count_if(F.col("vec_id").isNull() | F.col("embedding").isNull()).alias("nulls"))
 
 
-@query("SELECT count(*) AS n, count(*) - count(DISTINCT doc_id) AS repeated, count(*) FILTER (WHERE quality IS NULL) AS nulls, count(*) FILTER (WHERE quality NOT IN (0, 1) OR toxic NOT IN (0, 1)) AS outside FROM labels")
+@query("SELECT count(*) - count(DISTINCT doc_id) AS repeated_keys, count(*) FILTER (WHERE quality IS NULL) AS null_quality, count(*) FILTER (WHERE quality NOT IN (0, 1)) AS not_flag_quality, count(*) FILTER (WHERE toxic NOT IN (0, 1)) AS not_flag_toxic FROM labels")
 def data_contract(spark, sf_dir):
-    return read(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("repeated"), F.count_if(F.col("quality").isNull()).alias("nulls"), F.count_if(~F.col("quality").isin(0, 1) | ~F.col("toxic").isin(0, 1)).alias("outside"))
+    rules = tables.Contract("doc_id long, quality int, toxic int", ("doc_id",), ("quality",), (), ("quality", "toxic"))
+    return tables.violations(read(spark, sf_dir, "labels"), rules)
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) <> 64) AS misshapen FROM embeddings")
@@ -173,6 +176,30 @@ def near_dup_edges(spark, sf_dir):
     return rounded(V.pairs(vectors(spark, sf_dir), EDGE), "similarity")
 
 
+@query(PAIRS + "SELECT a, b, round(1 - similarity, 6) AS distance FROM pairs")
+def condensed_distance(spark, sf_dir):
+    return rounded(V.distances(vectors(spark, sf_dir)), "distance")
+
+
+@query(PAIRS + "SELECT (SELECT count(*) FROM u) AS items, (SELECT count(*) * (count(*) - 1) // 2 FROM u)::BIGINT AS expected, count(*) AS pairs, count(*) FILTER (WHERE similarity IS NULL) AS nulls FROM pairs")
+def pair_count_contract(spark, sf_dir):
+    """Whether every unordered pair has its similarity."""
+    v = vectors(spark, sf_dir)
+    made = V.pairs(v).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("similarity").isNull()).alias("nulls"))
+    n = v.agg(F.count(F.lit(1)).alias("items")).withColumn("expected", F.expr("items * (items - 1) div 2"))
+    return n.crossJoin(F.broadcast(made)).select("items", "expected", "pairs", "nulls")
+
+
+_RULES = "\nRules:\n" + "\n".join(f"- {rule}" for rule in T.RULES).replace("'", "''")
+
+
+@query(f"SELECT item_id, 'A model has predicted a label for an item.\nLabel: P' || item_id % 10 || '\nScore: 0.2500\nEvidence:\n[{{\"id\":' || item_id || ',\"similarity\":0.5,\"near_duplicate\":false,\"confirmed\":[\"P1\"]}}]{_RULES}' AS prompt FROM benchmark")
+def llm_prompt(spark, sf_dir):
+    proof = F.array(F.struct(F.col("item_id").alias("id"), F.lit(0.5).alias("similarity"), F.lit(False).alias("near_duplicate"), F.array(F.lit("P1")).alias("confirmed")))
+    label = F.concat(F.lit("P"), (F.col("item_id") % 10).cast("string"))
+    return read(spark, sf_dir, "benchmark").select("item_id", T.prompt(label, F.lit(0.25), proof).alias("prompt"))
+
+
 def _next(spark, sf_dir) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("a"), F.col("label").alias("x"))
     f = read(spark, sf_dir, "embeddings").select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("label").alias("y"))
@@ -272,15 +299,15 @@ def cluster_summary(spark, sf_dir):
     return dup_clusters(spark, sf_dir).groupBy("cluster_size").agg((F.count(F.lit(1)) / F.col("cluster_size")).cast("long").alias("clusters"))
 
 
-def split_of(cluster, dev: float = 0.15, test: float = 0.15, seed: int = 42):
-    """train, dev or test by a hash of the cluster, so that no cluster is in two."""
-    at = F.pmod(F.xxhash64(cluster, F.lit(seed)), F.lit(10_000)) / 10_000
-    return F.when(at < test, "test").when(at < test + dev, "dev").otherwise("train")
-
-
 @query()
 def cluster_split(spark, sf_dir):
-    return dup_clusters(spark, sf_dir).withColumn("split", split_of(F.col("cluster_id")))
+    return S.sized_split(dup_clusters(spark, sf_dir))
+
+
+@query("SELECT 0 AS leaked")
+def split_leakage(spark, sf_dir):
+    """Clusters that the split has cut."""
+    return S.leakage(cluster_split(spark, sf_dir)).agg(F.count(F.lit(1)).cast("int").alias("leaked"))
 
 
 @query()
@@ -290,19 +317,26 @@ def split_summary(spark, sf_dir):
 
 @query("SELECT label, count(DISTINCT vec_id % 3) AS splits FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id % 3) > 1")
 def cluster_leakage(spark, sf_dir):
-    """Clusters in more than one split; here labels stand for clusters and vec_id % 3 for the split."""
-    return read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count_distinct(F.col("vec_id") % 3).alias("splits")).where("splits > 1")
+    """Clusters in more than one split: what a split by rows does, with labels for clusters and vec_id % 3 for it."""
+    return S.leakage(read(spark, sf_dir, "embeddings").withColumn("split", F.col("vec_id") % 3), "label")
 
 
 @query("SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)")
 def labelled_join(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return C.one_to_one(read(spark, sf_dir, "documents").select("doc_id", "lang"), read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS unmatched FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT vec_id AS id, label FROM embeddings")
 def cluster_attach(spark, sf_dir):
-    l = read(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("found"))  # noqa: E741
-    return read(spark, sf_dir, "documents").select("doc_id").join(l, "doc_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("found").isNull()).alias("unmatched"))
+    """Items with their clusters; an item without one is an error."""
+    items = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return C.complete(items, dup_clusters(spark, sf_dir), "id").where("cluster_size > 0").select("id", "label")
+
+
+@query("SELECT count(*) - count(l.doc_id) AS unmatched, 0 AS repeated_left, 0 AS repeated_right FROM documents d LEFT JOIN labels l USING (doc_id)")
+def join_contract(spark, sf_dir):
+    found = C.faults(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id")
+    return found.select("unmatched", F.col("repeated_left").cast("int").alias("repeated_left"), F.col("repeated_right").cast("int").alias("repeated_right"))
 
 
 @query("SELECT l.doc_id, l.quality, d.source AS source_document FROM labels l LEFT JOIN documents d USING (doc_id)")
@@ -381,12 +415,17 @@ _KS = [3, 5, 7, 9]
 @query(SIMS + f", g AS (SELECT unnest({_KS}) AS k), votes AS (SELECT k, query, persona, sum(greatest(similarity, 0)) AS w FROM near JOIN labelled USING (id) JOIN g ON rank <= k GROUP BY ALL), total AS (SELECT k, query, sum(greatest(similarity, 0)) AS total FROM near JOIN g ON rank <= k GROUP BY ALL), swept AS (SELECT t.k, t.query, v.persona, CAST(CASE WHEN total > 0 THEN coalesce(w, 0) / total ELSE 0 END >= 0.35 AS INT) AS predicted, CAST(l.id IS NOT NULL AS INT) AS actual FROM total t CROSS JOIN vocab v LEFT JOIN votes o ON o.k = t.k AND o.query = t.query AND o.persona = v.persona LEFT JOIN labels0 l ON l.id = t.query AND l.persona = v.persona)" + _METRICS.format(by="k,", of="swept") + f"SELECT k, {_M} FROM m JOIN whole USING (k)")
 def knn_grid(spark, sf_dir):
     """All k from one retrieval of the largest."""
-    near = neighbours(spark, sf_dir, max(_KS))
-    out = None
-    for k in _KS:
-        part = judged(spark, sf_dir, scored=scores(spark, sf_dir, k, near)).withColumn("k", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return rounded(D.multilabel(out, "k"), *_MC)
+    return rounded(D.multilabel(judged(spark, sf_dir, scored=swept(spark, sf_dir, _KS, [1])), "k"), *_MC)
+
+
+def swept(spark, sf_dir, ks: list[int], powers: list[int]) -> DataFrame:
+    return D.knn_grid(neighbours(spark, sf_dir, max(ks)), labels(spark, sf_dir).where("id % 5 <> 0"), vocabulary(spark, sf_dir), ks, powers)
+
+
+@query(SIMS + f", n2 AS (SELECT query, id, pow(greatest(similarity, 0), power) AS w, power FROM near, (VALUES (1), (2)) p(power) WHERE rank <= {K}), votes AS (SELECT power, query, persona, sum(w) AS w FROM n2 JOIN labelled USING (id) GROUP BY ALL), total AS (SELECT power, query, sum(w) AS total FROM n2 GROUP BY ALL), swept AS (SELECT t.power, t.query, v.persona, CAST(CASE WHEN total > 0 THEN coalesce(w, 0) / total ELSE 0 END >= 0.35 AS INT) AS predicted, CAST(l.id IS NOT NULL AS INT) AS actual FROM total t CROSS JOIN vocab v LEFT JOIN votes o ON o.power = t.power AND o.query = t.query AND o.persona = v.persona LEFT JOIN labels0 l ON l.id = t.query AND l.persona = v.persona)" + _METRICS.format(by="power,", of="swept") + f"SELECT power, {_M} FROM m JOIN whole USING (power)")
+def knn_weighting(spark, sf_dir):
+    """Weights as they are and squared."""
+    return rounded(D.multilabel(judged(spark, sf_dir, scored=swept(spark, sf_dir, [K], [1, 2])), "power"), *_MC)
 
 
 @query(RANKED + f"SELECT threshold, round(count(*) FILTER (WHERE score >= threshold) / count(*)::DOUBLE, 6) AS coverage, round(coalesce(count(*) FILTER (WHERE score >= threshold AND actual = 1) / nullif(count(*) FILTER (WHERE score >= threshold), 0)::DOUBLE, 0), 6) AS precision, count(*) FILTER (WHERE score >= threshold) AS accepted FROM ranked, (VALUES {_GRID_SQL}) g(threshold) WHERE rank = 1 GROUP BY 1")
@@ -423,24 +462,58 @@ def label_quality(spark, sf_dir):
 @query()
 def ovr_lr_scores(spark, sf_dir):
     """One L2 logistic regression a label, with balanced weights and an unpenalised intercept."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    c = 3.0
-    rows = vectors(spark, sf_dir).select("id", array_to_vector("vector").alias("features")).cache()
-    known, out = labels(spark, sf_dir), None
-    for persona in sorted(x.persona for x in vocabulary(spark, sf_dir).limit(100).collect()):
-        mine = known.where(F.col("persona") == persona).select("id", F.lit(1.0).alias("y"))
-        data = rows.join(mine, "id", "left").fillna(0.0, ["y"])
-        train = data.where("id % 5 <> 0")
-        n, ones = train.agg(F.count(F.lit(1)), F.sum("y")).first()
-        if not ones or ones == n:
-            continue
-        train = train.withColumn("w", F.when(F.col("y") == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones))))
-        model = LogisticRegression(labelCol="y", weightCol="w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(train)
-        part = model.transform(data.where("id % 5 = 0")).select(F.col("id").alias("query"), F.lit(persona).alias("persona"), vector_to_array("probability")[1].alias("score"))
+    v, known = vectors(spark, sf_dir), labels(spark, sf_dir)
+    models = L.fit(v.where("id % 5 <> 0"), known, D.label_names(vocabulary(spark, sf_dir)), 3.0)
+    return L.scores(v.where("id % 5 = 0"), models)
+
+
+@query()
+def lr_predict(spark, sf_dir):
+    return ovr_lr_scores(spark, sf_dir).where("score >= 0.5").select("query", "persona")
+
+
+@query()
+def lr_top(spark, sf_dir):
+    return D.ranked(ovr_lr_scores(spark, sf_dir)).where("rank <= 3")
+
+
+_CS = [0.3, 3.0]
+
+
+def lr_search(spark, sf_dir, penalties: list[float], fit_on: str, ask: str) -> DataFrame:
+    """(c, threshold, macro_f1, ...) of logistic models fitted on some items and judged on others, best first; ties go
+    to the setting listed first."""
+    v, known, names = stage(vectors(spark, sf_dir), "vectors"), labels(spark, sf_dir), D.label_names(vocabulary(spark, sf_dir))
+    out = None
+    for c in penalties:
+        part = L.scores(v.where(ask), L.fit(v.where(fit_on), known, names, c)).withColumn("c", F.lit(c))
         out = part if out is None else out.unionByName(part)
-    return out
+    judged_ = judged(spark, sf_dir, scored=stage(out, "lr")).crossJoin(grid(spark, _GRID)).withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
+    return D.multilabel(judged_, "c", "threshold").orderBy(F.desc("macro_f1"), F.desc("micro_f1"), "c", "threshold")
+
+
+@query()
+def lr_grid(spark, sf_dir):
+    """Penalty and threshold of the logistic models, fitted on three fifths and judged on one."""
+    return rounded(lr_search(spark, sf_dir, _CS, "id % 5 > 1", "id % 5 = 1"), *_MC)
+
+
+@query()
+def final_compare(spark, sf_dir):
+    """Both kinds of model with the setting that was best on the development fifth, judged once on the test fifth."""
+    best = lr_search(spark, sf_dir, _CS, "id % 5 > 1", "id % 5 = 1").first()
+    logistic = lr_search(spark, sf_dir, [best.c], "id % 5 > 1", "id % 5 = 0").where(F.col("threshold") == best.threshold)
+    v, known = vectors(spark, sf_dir), labels(spark, sf_dir).where("id % 5 > 1")
+
+    def knn(ask: str, ks: list[int]) -> DataFrame:
+        scored = D.knn_grid(V.top_k(v.where(ask), v.where("id % 5 > 1"), max(ks)), known, vocabulary(spark, sf_dir), ks, [1])
+        swept_ = judged(spark, sf_dir, scored=scored).crossJoin(grid(spark, _GRID)).withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
+        return D.multilabel(swept_, "k", "threshold").orderBy(F.desc("macro_f1"), F.desc("micro_f1"), "k", "threshold")
+
+    top = knn("id % 5 = 1", _KS).first()
+    near = knn("id % 5 = 0", [top.k]).where(F.col("threshold") == top.threshold)
+    row = lambda df, kind, setting: df.select(F.lit(kind).alias("model"), F.col(setting).cast("double").alias("setting"), "threshold", *_MC)
+    return rounded(row(near, "knn", "k").unionByName(row(logistic, "logistic", "c")), *_MC)
 
 
 @query(DECIDED + "SELECT query, decision, round(top, 6) AS confidence, CASE decision WHEN 'abstain' THEN '' WHEN 'suggest_with_caution' THEN (SELECT persona FROM ranked r WHERE r.query = d.query AND rank = 1) ELSE (SELECT string_agg(persona, ',' ORDER BY rank) FROM ranked r WHERE r.query = d.query AND rank <= 3 AND score >= 0.5::DOUBLE) END AS personas FROM decided d")
@@ -501,8 +574,6 @@ def score_quantiles(spark, sf_dir):
 def suggestions(spark, sf_dir) -> DataFrame:
     """One record for each query: decision, labels with scores, evidence and a sentence; similarities are worked
     out once for all of it."""
-    from veldspar.storage import stage
-
     near = stage(neighbours(spark, sf_dir, 20), "near")
     scored = D.ranked(scores(spark, sf_dir, near=near))
     made = D.abstain(scored.drop("rank"), SUGGEST, CAUTION, MARGIN)

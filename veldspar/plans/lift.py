@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from veldspar.operators import decide, panel as P
 from veldspar.plans.registry import query, read
+from veldspar.sources import tables
 
 START, TREATED = "2024-01-22", 3
 
@@ -42,9 +43,10 @@ def rounded(df: DataFrame, *cols: str, n: int = 5) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c in cols})
 
 
-@query(PANEL + "SELECT count(*) AS n, count(*) - count(DISTINCT (geo, day)) AS repeated, count(*) FILTER (WHERE revenue IS NULL OR spend IS NULL) AS nulls, count(*) FILTER (WHERE revenue < 0 OR spend < 0) AS negative FROM panel")
+@query(PANEL + "SELECT count(*) - count(DISTINCT (geo, day)) AS repeated_keys, count(*) FILTER (WHERE revenue IS NULL) AS null_revenue, count(*) FILTER (WHERE spend IS NULL) AS null_spend, count(*) FILTER (WHERE revenue < 0) AS negative_revenue, count(*) FILTER (WHERE spend < 0) AS negative_spend FROM panel")
 def panel_contract(spark, sf_dir):
-    return panel(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("geo", "day")).alias("repeated"), F.count_if(F.col("revenue").isNull() | F.col("spend").isNull()).alias("nulls"), F.count_if((F.col("revenue") < 0) | (F.col("spend") < 0)).alias("negative"))
+    rules = tables.Contract("geo long, day date, revenue double, spend double", ("geo", "day"), ("revenue", "spend"), ("revenue", "spend"))
+    return tables.violations(panel(spark, sf_dir), rules)
 
 
 @query(PANEL + "SELECT count(*) AS n, count(DISTINCT geo) AS geos, count(DISTINCT day) AS days, count(DISTINCT geo) FILTER (WHERE treated = 1) AS treated_geos, count(DISTINCT geo) FILTER (WHERE treated = 0) AS control_geos, min(day) AS first_day, max(day) AS last_day, sum(treated_post)::BIGINT AS treated_post FROM panel")
@@ -111,18 +113,18 @@ def _cell(t: int, p: int, value: str = "revenue"):
 _CELLS = ", ".join(f"avg(CASE WHEN treated = {t} AND post = {p} THEN {{v}} END) AS {n}" for n, t, p in (("treated_pre", 1, 0), ("treated_post", 1, 1), ("control_pre", 0, 0), ("control_post", 0, 1)))
 
 
-def _means(p: DataFrame, value: str = "revenue") -> DataFrame:
+def means(p: DataFrame, value: str = "revenue") -> DataFrame:
     return p.agg(_cell(1, 0, value).alias("treated_pre"), _cell(1, 1, value).alias("treated_post"), _cell(0, 0, value).alias("control_pre"), _cell(0, 1, value).alias("control_post"))
 
 
 @query(PANEL + f"SELECT round(treated_pre, 5) AS treated_pre, round(treated_post, 5) AS treated_post, round(control_pre, 5) AS control_pre, round(control_post, 5) AS control_post FROM (SELECT {_CELLS.format(v='revenue')} FROM panel)")
-def period_means(spark, sf_dir):
-    return rounded(_means(panel(spark, sf_dir)), "treated_pre", "treated_post", "control_pre", "control_post")
+def periodmeans(spark, sf_dir):
+    return rounded(means(panel(spark, sf_dir)), "treated_pre", "treated_post", "control_pre", "control_post")
 
 
 @query(PANEL + f"SELECT round((treated_post - treated_pre) - (control_post - control_pre), 5) AS did FROM (SELECT {_CELLS.format(v='revenue')} FROM panel)")
 def naive_did(spark, sf_dir):
-    return _means(panel(spark, sf_dir)).select(r(F.expr("(treated_post - treated_pre) - (control_post - control_pre)")).alias("did"))
+    return means(panel(spark, sf_dir)).select(r(F.expr("(treated_post - treated_pre) - (control_post - control_pre)")).alias("did"))
 
 
 _SPEND = "round(treated_post - treated_pre, 5) AS treated_change, round(control_post - control_pre, 5) AS control_change, round((treated_post - treated_pre) / treated_pre, 6) AS treated_relative, round((control_post - control_pre) / control_pre, 6) AS control_relative, round((treated_post - treated_pre) - (control_post - control_pre), 5) AS did"
@@ -130,25 +132,29 @@ _SPEND = "round(treated_post - treated_pre, 5) AS treated_change, round(control_
 
 @query(PANEL + f"SELECT {_SPEND} FROM (SELECT {_CELLS.format(v='spend')} FROM panel)")
 def spend_diagnostic(spark, sf_dir):
-    return _means(panel(spark, sf_dir), "spend").selectExpr(*_SPEND.split(", r")[:1], *["r" + x for x in _SPEND.split(", r")[1:]])
+    return spend_changes(panel(spark, sf_dir))
+
+
+def spend_changes(p: DataFrame) -> DataFrame:
+    return means(p, "spend").selectExpr(*_SPEND.split(", r")[:1], *["r" + x for x in _SPEND.split(", r")[1:]])
 
 
 _ARMS = """, arms AS (SELECT day, avg(CASE WHEN treated = 1 THEN revenue END) AS t, avg(CASE WHEN treated = 0 THEN revenue END) AS c FROM panel WHERE post = 0 GROUP BY day)
 """
 
 
-def _arms(p: DataFrame) -> DataFrame:
+def arms(p: DataFrame) -> DataFrame:
     return p.where("post = 0").groupBy("day").agg(F.avg(F.when(F.col("treated") == 1, F.col("revenue"))).alias("t"), F.avg(F.when(F.col("treated") == 0, F.col("revenue"))).alias("c"))
 
 
 @query(PANEL + _ARMS + "SELECT round(corr(t, c), 8) AS correlation FROM arms")
 def pre_corr(spark, sf_dir):
-    return _arms(panel(spark, sf_dir)).agg(r(F.corr("t", "c"), 8).alias("correlation"))
+    return arms(panel(spark, sf_dir)).agg(r(F.corr("t", "c"), 8).alias("correlation"))
 
 
 @query(PANEL + _ARMS + "SELECT round(corr(t / mt, c / mc), 8) AS correlation FROM arms CROSS JOIN (SELECT avg(t) AS mt, avg(c) AS mc FROM arms)")
 def indexed_pre_corr(spark, sf_dir):
-    a = _arms(panel(spark, sf_dir))
+    a = arms(panel(spark, sf_dir))
     return a.crossJoin(F.broadcast(a.agg(F.avg("t").alias("mt"), F.avg("c").alias("mc")))).agg(r(F.corr(F.col("t") / F.col("mt"), F.col("c") / F.col("mc")), 8).alias("correlation"))
 
 
@@ -156,25 +162,25 @@ def indexed_pre_corr(spark, sf_dir):
 def donor_ranking(spark, sf_dir):
     p = panel(spark, sf_dir)
     d = F.col("revenue") - F.col("t")
-    return p.where("treated = 0").join(_arms(p), "day").groupBy("geo").agg(r(F.corr("revenue", "t"), 6).alias("correlation"), r(F.sqrt(F.avg(d * d))).alias("rmse"), r(F.avg(F.abs(d))).alias("mae")).orderBy("rmse", F.desc("correlation"))
+    return p.where("treated = 0").join(arms(p), "day").groupBy("geo").agg(r(F.corr("revenue", "t"), 6).alias("correlation"), r(F.sqrt(F.avg(d * d))).alias("rmse"), r(F.avg(F.abs(d))).alias("mae")).orderBy("rmse", F.desc("correlation"))
 
 
 _INDEXED = ", base AS (SELECT treated, avg(revenue) AS b FROM panel WHERE post = 0 GROUP BY 1) SELECT p.treated, {unit} AS {name}, round(100 * avg(p.revenue) / any_value(b), 5) AS indexed FROM panel p JOIN base USING (treated) GROUP BY 1, 2"
 
 
-def _index(p: DataFrame, unit, name: str) -> DataFrame:
+def index_to_100(p: DataFrame, unit, name: str) -> DataFrame:
     based = p.withColumn("b", F.avg(F.when(F.col("post") == 0, F.col("revenue"))).over(Window.partitionBy("treated")))
     return based.groupBy("treated", unit.alias(name)).agg(r(100 * F.avg("revenue") / F.first("b")).alias("indexed"))
 
 
 @query(PANEL + _INDEXED.format(unit="p.day", name="day"))
 def indexed_series(spark, sf_dir):
-    return _index(panel(spark, sf_dir), F.col("day"), "day")
+    return index_to_100(panel(spark, sf_dir), F.col("day"), "day")
 
 
 @query(PANEL + _INDEXED.format(unit="CAST(date_trunc('week', p.day) AS DATE)", name="week"))
 def weekly_indexed(spark, sf_dir):
-    return _index(panel(spark, sf_dir), F.date_trunc("week", "day").cast("date"), "week")
+    return index_to_100(panel(spark, sf_dir), F.date_trunc("week", "day").cast("date"), "week")
 
 
 _DEMEAN = ", dem AS (SELECT {by} geo, treated * (week_index - avg(week_index) OVER (PARTITION BY {by} geo)) AS x, value - avg(value) OVER (PARTITION BY {by} geo) AS y FROM {of})"
@@ -192,15 +198,32 @@ def spend_pretrend(spark, sf_dir):
 
 @query(WEEKS.format(value="revenue") + ", gaps AS (SELECT week, avg(CASE WHEN treated = 0 THEN value END) AS control, avg(CASE WHEN treated = 1 THEN value END) AS treated FROM weeks GROUP BY week) SELECT week, round(control, 5) AS control, round(treated, 5) AS treated, round(treated - control, 5) AS gap, round((treated - control) - first_value(treated - control) OVER (ORDER BY week), 5) AS gap_vs_first FROM gaps")
 def pretrend_gap(spark, sf_dir):
-    w = P.weekly(panel(spark, sf_dir).where("post = 0")).groupBy("week").agg(F.avg(F.when(F.col("treated") == 0, F.col("value"))).alias("control"), F.avg(F.when(F.col("treated") == 1, F.col("value"))).alias("treated")).withColumn("gap", F.col("treated") - F.col("control"))
+    return rounded(gap_by_week(P.weekly(panel(spark, sf_dir).where("post = 0"))), "control", "treated", "gap", "gap_vs_first")
+
+
+def gap_by_week(weeks: DataFrame) -> DataFrame:
+    w = weeks.groupBy("week").agg(F.avg(F.when(F.col("treated") == 0, F.col("value"))).alias("control"), F.avg(F.when(F.col("treated") == 1, F.col("value"))).alias("treated")).withColumn("gap", F.col("treated") - F.col("control"))
     first = F.first("gap").over(Window.orderBy("week"))  # a row for each week
-    return rounded(w.withColumn("gap_vs_first", F.col("gap") - first), "control", "treated", "gap", "gap_vs_first")
+    return w.withColumn("gap_vs_first", F.col("gap") - first)
 
 
-@query(WEEKS.format(value="revenue") + "SELECT geo, round(regr_slope(value, week_index), 5) AS slope, round(regr_intercept(value, week_index), 5) AS intercept, round(regr_r2(value, week_index), 6) AS r_squared, count(*) AS n FROM weeks WHERE treated = 1 GROUP BY geo")
+@query(WEEKS.format(value="revenue") + "SELECT geo, round(regr_slope(value, week_index), 5) AS slope, round(regr_intercept(value, week_index), 5) AS intercept, round(regr_r2(value, week_index), 6) AS r_squared, count(*) AS n, round(sqrt((regr_syy(value, week_index) - regr_sxy(value, week_index) ** 2 / regr_sxx(value, week_index)) / (count(*) - 2) / regr_sxx(value, week_index)), 5) AS se FROM weeks WHERE treated = 1 GROUP BY geo")
 def geo_trend(spark, sf_dir):
-    w = P.weekly(panel(spark, sf_dir).where("post = 0")).where("treated = 1")
-    return w.groupBy("geo").agg(r(F.regr_slope("value", "week_index")).alias("slope"), r(F.regr_intercept("value", "week_index")).alias("intercept"), r(F.regr_r2("value", "week_index"), 6).alias("r_squared"), F.count(F.lit(1)).alias("n"))
+    return rounded(P.geo_trends(P.weekly(panel(spark, sf_dir).where("post = 0"))), "slope", "intercept", "se").withColumn("r_squared", F.round("r_squared", 6))
+
+
+@query()
+def geo_trend_p_values(spark, sf_dir):
+    """The trends with Student's 90 % intervals and p-values, smallest slope first."""
+    return P.with_student(P.geo_trends(P.weekly(panel(spark, sf_dir).where("post = 0")))).orderBy("slope", "geo")
+
+
+_PERIODS = ["treated_pre", "treated_post", "control_pre", "control_post"]
+
+
+@query(PANEL + f"SELECT name, round(mean, 5) AS mean FROM (UNPIVOT (SELECT {_CELLS.format(v='revenue')} FROM panel) ON {', '.join(_PERIODS)} INTO NAME name VALUE mean)")
+def period_means_transposed(spark, sf_dir):
+    return rounded(means(panel(spark, sf_dir)).unpivot([], _PERIODS, "name", "mean"), "mean")
 
 
 @query(WEEKS.format(value="revenue") + ", loo AS (SELECT e.geo AS excluded, w.* FROM weeks w JOIN (SELECT DISTINCT geo FROM weeks WHERE treated = 1) e ON w.geo <> e.geo)" + _DEMEAN.format(by="excluded,", of="loo") + fit_sql(1, "excluded"))
@@ -240,7 +263,7 @@ def sc_gram(spark, sf_dir):
 
 def _geos(spark, sf_dir) -> tuple[DataFrame, list[int], list[int]]:
     p = panel(spark, sf_dir)
-    return p, list(range(TREATED)), sorted(x.geo for x in p.where("treated = 0").select("geo").distinct().limit(P.MAX_GEOS).collect())
+    return p, list(range(TREATED)), P.geo_names(p.where("treated = 0"))
 
 
 def _scenarios(spark, rows) -> DataFrame:
@@ -284,10 +307,20 @@ _DRAW_ROWS = ", ".join(f"({n}, {g})" for n, gs in enumerate(_DRAWS) for g in gs)
 
 @query(PANEL + f", treated AS (SELECT * FROM (VALUES {_DRAW_ROWS}) v(scenario, geo)), weights AS (SELECT s.scenario, g.geo, 1.0 / 14 AS weight FROM (SELECT DISTINCT scenario FROM treated) s, (SELECT DISTINCT geo FROM panel WHERE treated = 0) g WHERE NOT EXISTS (SELECT 1 FROM treated t WHERE t.scenario = s.scenario AND t.geo = g.geo))" + _EQUAL + "SELECT scenario, round(sum(gap), 3) AS effect FROM series WHERE post = 1 GROUP BY 1")
 def placebo_equal_weight(spark, sf_dir):
+    return placebo_series(spark, sf_dir).select("scenario", r("effect", 3).alias("effect"))
+
+
+def placebo_series(spark, sf_dir) -> DataFrame:
     p, _, controls = _geos(spark, sf_dir)
     weights = [(n, g, 1 / (len(controls) - TREATED)) for n, gs in enumerate(_DRAWS) for g in controls if g not in gs]
     series = P.counterfactual(p.where("treated = 0"), _scenarios(spark, enumerate(_DRAWS)), spark.createDataFrame(weights, "scenario int, geo long, weight double"))
-    return P.effects(series).select("scenario", r("effect", 3).alias("effect"))
+    return P.effects(series)
+
+
+@query(PANEL + f", treated AS (SELECT * FROM (VALUES {_DRAW_ROWS}) v(scenario, geo)), weights AS (SELECT s.scenario, g.geo, 1.0 / 14 AS weight FROM (SELECT DISTINCT scenario FROM treated) s, (SELECT DISTINCT geo FROM panel WHERE treated = 0) g WHERE NOT EXISTS (SELECT 1 FROM treated t WHERE t.scenario = s.scenario AND t.geo = g.geo))" + _EQUAL + "SELECT round(min(effect), 3) AS least, round(max(effect), 3) AS most, round(avg(effect), 3) AS mean, round(stddev_samp(effect), 3) AS deviation FROM (SELECT sum(gap) AS effect FROM series WHERE post = 1 GROUP BY scenario)")
+def sensitivity_summary(spark, sf_dir):
+    """How effects over refits spread; here those of the placebo groups with equal weights."""
+    return rounded(P.spread(placebo_series(spark, sf_dir)), "least", "most", "mean", "deviation", n=3)
 
 
 def _fitted(spark, p, scenarios) -> DataFrame:

@@ -12,8 +12,11 @@ CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a temporary one in local mode, where
+    driver and executors are one process; an error on a cluster, whose machines couldn't see such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="veldspar-")
         spark.sparkContext.setCheckpointDir(found)
