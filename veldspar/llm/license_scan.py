@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veldspar.llm._text import ALNUM, LOWER, gram_hashes, spans, word_hashes
+from veldspar.storage import stage
 
 K = 2
 #: Phrases that make a base label wherever their words stand consecutively. Fixed values.
@@ -48,6 +49,12 @@ def _hashes(text: str | None) -> tuple[int, np.ndarray]:
     return len(words), gram_hashes(words, K)
 
 
+def _words(text: str | None) -> list[str]:
+    buf = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+    _, starts, ends = spans(buf, ALNUM)
+    return [buf[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """(hash, template, at): where each word pair stands in each template; small, as the templates are a list."""
     rows = [(int(h.view(np.int64)), t, at) for t, (text, _) in enumerate(templates) for at, h in enumerate(_hashes(text)[1])]
@@ -60,16 +67,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     ``spans`` lists (template, label, base, first, last, votes, cover): where a template's words stand, from word
     ``first`` to ``last``. Base phrases count only whole and in order; other templates where at least ``cover`` of
     their word pairs are found on diagonals at most ``drift`` apart, so a word may be added or missing, within a
-    span no longer than the template and the drift; such a span gives way to a whole template in its place. Null and empty texts have no words. Rows with one id are
-    scanned together. An empty table gives none.
+    span no longer than the template and the drift; such a span gives way to a whole template in its place. Null and
+    empty texts have no words. Rows with one id, or a null one, are scanned each on their own. An empty table gives
+    none.
 
     All rolling hashes of a document are joined with the template positions, a fixed list that is broadcast; only
-    matches leave the scan, and one row for each document that stands for itself.
+    matches leave the scan, and one row for each document that stands for itself. Votes are summed up by document,
+    template and diagonal; neighbouring diagonals are merged, a template position counting once however many of them
+    it was found on. Spans that pass are verified: the document's words are looked up once more, for the documents
+    with spans alone, and a position counts only where its words stand.
     """
     listed = [(p, label, True) for p, label in BASE.items()] + [(p, label, False) for p, label in (TEMPLATES if templates is None else templates)]
     spark = docs.sparkSession
     table = template_table(spark, [(p, label) for p, label, _ in listed])
-    sizes = [len(p.split()) for p, *_ in listed]
+    templates_ = [p.split() for p, *_ in listed]
+    sizes = list(map(len, templates_))
 
     itself = np.array([_ITSELF], dtype=np.uint64)
 
@@ -80,39 +92,47 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 counts, grams = zip(*(_hashes(t.as_py()) for t in part.column(1)), strict=True)
                 flat = np.concatenate([x for g in grams for x in (itself, np.where(g == _ITSELF, np.uint64(1), g))]).view(np.int64)
                 offsets = np.cumsum([0, *(len(g) + 1 for g in grams)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, type=pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["id", "n_words", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, type=pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["row", "id", "n_words", "hashes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    arrays = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(hashed, f"id {kind}, n_words long, hashes array<long>")
-    places = arrays.select("id", "n_words", F.posexplode_outer("hashes").alias("place", "hash")).join(F.broadcast(table), "hash")
-    votes = places.groupBy("id", "template", (F.col("place") - 1 - F.col("at")).alias("diagonal")).agg(F.max("n_words").alias("n_words"), F.min("at").alias("low"), F.max("at").alias("high"), F.count_distinct("at").alias("votes"))
-    each = votes.groupBy("id").agg(
-        F.max(F.when(F.col("template") < 0, F.col("n_words"))).alias("n_words"),
-        F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "diagonal", "low", "high", "votes"))).alias("votes"),
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id")), "texts")
+    arrays = rows.mapInArrow(hashed, f"row long, id {kind}, n_words long, hashes array<long>")
+    places = arrays.select("row", "id", "n_words", F.posexplode("hashes").alias("place", "hash")).join(F.broadcast(table), "hash")
+    votes = places.groupBy("row", "template", (F.col("place") - 1 - F.col("at")).alias("diagonal")).agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.collect_set("at").alias("ats"))
+    each = votes.groupBy("row").agg(
+        F.first("id").alias("id"),
+        F.first("n_words").alias("n_words"),
+        F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "diagonal", "ats"))).alias("votes"),
     )
 
-    def spans_of(found: list) -> list[dict]:
+    def spans_of(found: list, words: list[str] | None = None) -> list[dict]:
+        """Spans by votes; with the document's words, by votes whose words stand where they were found."""
         out, by = [], {}
         for v in found:
-            by.setdefault(v["template"], []).append((v["diagonal"], v["low"], v["high"], v["votes"]))
-        for t, rows in by.items():
+            t, d = v["template"], v["diagonal"]
+            ats = [at for at in v["ats"] if words is None or words[d + at : d + at + K] == templates_[t][at : at + K]]
+            if ats:
+                by.setdefault(t, []).append((d, sorted(ats)))
+        for t, lines in by.items():
             pairs, (_, label, base) = sizes[t] - K + 1, listed[t]
-            rows.sort()
+            lines.sort()
             at = 0
-            while at < len(rows):
-                diagonal, low, high, n = rows[at]
-                first, last, end = diagonal + low, diagonal + high + K - 1, at + 1
-                if base or n == pairs:
-                    if n == pairs:
-                        out.append({"template": t, "label": label, "base": base, "first": first, "last": last, "votes": n, "cover": 1.0})
+            while at < len(lines):
+                diagonal, ats = lines[at]
+                seen, end = set(ats), at + 1
+                first, last = diagonal + ats[0], diagonal + ats[-1] + K - 1
+                if base or len(seen) == pairs:
+                    if len(seen) == pairs:
+                        out.append({"template": t, "label": label, "base": base, "first": first, "last": last, "votes": pairs, "cover": 1.0})
                     at = end
                     continue
-                while end < len(rows) and rows[end][0] - rows[end - 1][0] <= drift and rows[end][0] - diagonal <= drift:
-                    d, lo, hi, m = rows[end]
-                    first, last, n, end = min(first, d + lo), max(last, d + hi + K - 1), n + m, end + 1
-                share = min(1.0, n / pairs)
+                while end < len(lines) and lines[end][0] - diagonal <= drift and len(lines[end][1]) < pairs:
+                    d, ats = lines[end]
+                    first, last, end = min(first, d + ats[0]), max(last, d + ats[-1] + K - 1), end + 1
+                    seen.update(ats)
+                share = len(seen) / pairs
                 if share >= cover and last - first + 1 <= sizes[t] + drift:
-                    out.append({"template": t, "label": label, "base": base, "first": first, "last": last, "votes": n, "cover": share})
+                    out.append({"template": t, "label": label, "base": base, "first": first, "last": last, "votes": len(seen), "cover": share})
                     at = end
                 else:
                     at += 1
@@ -120,11 +140,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         out = [s for s in out if s["cover"] == 1.0 or not any(s["first"] <= w["last"] and w["first"] <= s["last"] for w in whole)]
         return sorted(out, key=lambda s: (s["first"], s["template"]))
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("base", pa.bool_()), ("first", pa.int64()), ("last", pa.int64()), ("votes", pa.int64()), ("cover", pa.float64())]))
+    shape = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("base", pa.bool_()), ("first", pa.int64()), ("last", pa.int64()), ("votes", pa.int64()), ("cover", pa.float64())]))
+    kept = pa.list_(pa.struct([("template", pa.int32()), ("diagonal", pa.int32()), ("ats", pa.list_(pa.int32()))]))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their votes if any span passes, else without."""
         for batch in batches:
-            spans_ = [spans_of(v) if v else [] for v in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans_, type=shape)], names=["id", "n_words", "spans"])
+            votes_ = [v if v and spans_of(v) else None for v in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(votes_, type=kept)], names=["row", "id", "n_words", "votes"])
 
-    out = each.mapInArrow(verified, f"id {kind}, n_words long, spans array<struct<template: int, label: string, base: boolean, first: long, last: long, votes: long, cover: double>>")
-    return out.withColumnRenamed("id", id_col)
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [spans_of(v, _words(t.as_py())) for t, v in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=shape)], names=["row", "spans"])
+
+    vote = "array<struct<template: int, diagonal: int, ats: array<int>>>"
+    span = "array<struct<template: int, label: string, base: boolean, first: long, last: long, votes: long, cover: double>>"
+    marked = stage(each.mapInArrow(likely, f"row long, id {kind}, n_words long, votes {vote}"), "votes")
+    candidates = marked.where("votes is not null").select("row", "votes")
+    spans_ = rows.select("row", "text").join(candidates, "row").mapInArrow(verified, f"row long, spans {span}")
+    out = marked.select("row", "id", "n_words").join(spans_, "row", "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", F.array().cast(span)).alias("spans"))
+    return out

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veldspar.llm._text import U64, gram_hashes, spans, word_hashes
+from veldspar.operators.graph import joined_back
 from veldspar.storage import stage
 
 _SUM_SCHEMA = "n_words long, whole long, kept_sha256 string, anchors array<long>"
@@ -71,10 +72,10 @@ def _sha(words: list[bytes]) -> str:
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key others have too. Counts are summed before the shuffle, and Spark can split the join back
-    where a key is hot; no key's rows have to meet in one task."""
+    """The rows whose key others have too. Counts are summed before the shuffle and staged, so that Spark can split
+    the join back where a key is hot; no key's rows have to meet in one task."""
     counts = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
-    return rows.join(counts, F.col(key) == F.col("_key")).drop("_key")
+    return joined_back(rows, key, counts, "_key")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, texts: bool = False) -> DataFrame:
