@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from veldspar.storage import stage
+
 #: Members of a bucket that one group compares; larger buckets are cut into tiles of about this size.
 TILE = 2048
 #: One member in so many is counted to find the large buckets. That only steers the cutting, not the result.
@@ -28,11 +30,14 @@ def dealt(members: DataFrame, key: str, member: str) -> DataFrame:
         .where(F.col("_n") * COUNTED > 4 * TILE)
         .select("_hot", F.ceil(F.col("_n") * COUNTED / TILE).cast("int").alias("_tiles"))
     )
-    tile = F.pmod(F.xxhash64(member, F.lit(11)), F.coalesce("_tiles", F.lit(1))).cast("int")
-    out = members.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_tile", tile)
-    out = out.withColumn("_other", F.explode(F.when(F.col("_tiles").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_tiles") - 1))))
+    hot = stage(hot, "hot")
+    if hot.isEmpty():
+        return members.withColumn("group", F.col(key))
+    cold = members.join(hot, F.col(key) == F.col("_hot"), "left_anti").withColumn("group", F.col(key))
+    out = members.join(hot, F.col(key) == F.col("_hot")).withColumn("_tile", F.pmod(F.xxhash64(member, F.lit(11)), F.col("_tiles")).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     pair = F.xxhash64(key, F.least("_tile", "_other"), F.greatest("_tile", "_other"))
-    return out.select(*members.columns, F.when(F.col("_tiles").isNull(), F.col(key)).otherwise(pair).alias("group"))
+    return cold.unionByName(out.select(*members.columns, pair.alias("group")))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

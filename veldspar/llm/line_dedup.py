@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 from veldspar.llm._buckets import by_group, dealt, forest, released, sorted_groups
 from veldspar.llm._columns import free
 from veldspar.llm._text import LOWER, U64, mix
+from veldspar.llm.near_copies import near_pairs as blocked_pairs
 from veldspar.operators.graph import connected_components
 from veldspar.storage import stage
 
 #: Bytes of a shingle, bands and rows of a band: two lines of similarity 0.8 share a band but once in 500 times.
 SHINGLE, BANDS, ROWS = 8, 12, 4
 SIMILARITY = 0.8
-#: Groups of more lines are compared pair by pair, leaving out pairs that are linked already; smaller ones all at
-#: once, in tables of so many cells.
+#: Groups of more lines are compared some rows at a time; smaller ones all at once, in tables of so many cells.
 AT_ONCE, CELLS = 1024, 1 << 20
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -151,7 +151,7 @@ def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
             flat = pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays([_longs(hashes), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), flat)], names=["h", "keys"])
 
-    bands = stage(texts.mapInArrow(released(keyed), "h long, keys array<long>"), "bands").select("h", F.explode("keys").alias("key"))
+    bands = stage(texts.mapInArrow(released(keyed), "h long, keys array<long>"), "bands", "uncompressed").select("h", F.explode("keys").alias("key"))
 
     def buckets(batches):
         for table in sorted_groups(batches):
@@ -178,7 +178,8 @@ def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
             yield pa.RecordBatch.from_arrays([_longs(hashes), pa.array(lines, type=pa.binary())], names=["line_h", "line"])
 
     lines = texts.mapInArrow(released(fetched), "line_h long, line binary")
-    wanted = lines.join(members.select("h").distinct().hint("shuffle_hash"), F.col("line_h") == F.col("h"), "left_semi")
+    # each task that met a line has sent it: one copy of it goes on to its buckets
+    wanted = lines.join(members.select("h").distinct(), F.col("line_h") == F.col("h"), "left_semi").dropDuplicates(["line_h"])
     rows = members.join(wanted, F.col("h") == F.col("line_h")).select(F.col("bucket").alias("group"), "h", "line")
 
     def compared(batches):
@@ -187,39 +188,26 @@ def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
             starts = [*np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist(), len(h)]
             src, dst = [], []
             for low, high in zip(starts, starts[1:], strict=False):
-                lines_ = dict(zip(h[low:high].tolist(), text[low:high], strict=True))
-                ids = sorted(lines_, key=lambda i: (len(lines_[i]), i))
-                if len(ids) <= AT_ONCE and len(lines_[ids[0]]) >= SHINGLE:
-                    for found, side in zip(near_pairs([lines_[i] for i in ids], similarity), (src, dst), strict=True):
-                        side.extend(map(ids.__getitem__, found.tolist()))
-                    continue
-                sets, root = [shingle_set(lines_[i]) for i in ids], list(range(len(ids)))
-
-                def find(x, root=root):
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for i in range(len(ids)):
-                    for j in range(i + 1, len(ids)):
-                        a, b = find(i), find(j)
-                        if a != b and not _far(sets[i], sets[j], similarity) and jaccard(sets[i], sets[j]) >= similarity:
-                            root[max(a, b)] = min(a, b)
-                            src.append(ids[i])
-                            dst.append(ids[j])
-            if src:
-                a, b = forest(np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64))
+                # a line shorter than a shingle is like no other
+                lines_ = {i: x for i, x in zip(h[low:high].tolist(), text[low:high], strict=True) if len(x) >= SHINGLE}
+                ids = np.array(sorted(lines_, key=lambda i: (len(lines_[i]), i)), dtype=np.int64)
+                if 1 < len(ids) <= AT_ONCE:
+                    i, j = near_pairs([lines_[k] for k in ids.tolist()], similarity)
+                    src.append(ids[i])
+                    dst.append(ids[j])
+                elif len(ids):
+                    sets = [np.unique(_shingles(lines_[k]).astype(U64)) for k in ids.tolist()]
+                    for i, j in blocked_pairs(sets, similarity):
+                        a, b = forest(ids[i], ids[j]) if len(i) > 1 << 16 else (ids[i], ids[j])
+                        src.append(a)
+                        dst.append(b)
+            if sum(map(len, src)):
+                a, b = forest(np.concatenate(src), np.concatenate(dst))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
     return by_group(rows, [], compared, "src long, dst long").distinct()
 
 
-def _far(a: set[int], b: set[int], similarity: float) -> bool:
-    """Whether the sizes alone rule the similarity out."""
-    return min(len(a), len(b)) < similarity * max(len(a), len(b))
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with each line kept once, and columns n_lines and n_removed.
 

@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from veldspar.llm._columns import free
 from veldspar.llm._text import NOT_SPACE, spans
 
-FEATURES = ["log_bytes", "upper", "digits", "above_ascii", "marks", "strange_marks", "top_mark", "mark_kinds", "bars", "spaces", "word_length", "word_spread", "long_words", "short_words", "marked_words", "distinct_words", "log_lines", "repeated_lines", "line_length", "squeezed", "middle_squeezed", "bangs"]
+FEATURES = ["log_bytes", "upper", "digits", "above_ascii", "marks", "strange_marks", "top_mark", "mark_kinds", "bars", "spaces", "word_length", "word_spread", "long_words", "short_words", "marked_words", "distinct_words", "log_lines", "repeated_lines", "line_length", "squeezed", "least_squeezed", "most_squeezed", "bangs"]
 #: Labelled rows that a fit uses at most: those whose ids have the least hashes. It bounds what the driver holds.
 FIT_ROWS = 20_000
 _SQUEEZE = 1 << 16
@@ -41,7 +41,8 @@ def features(text: str | None) -> np.ndarray:
     words = max(1, len(lens))
     lines = [x for x in buf.split(b"\n") if x.strip()]
     parts = [buf[i : i + _SQUEEZE] for i in range(0, n, _SQUEEZE)]
-    squeezed = sum(len(zlib.compress(p, 1)) for p in parts)
+    squeezed = [len(zlib.compress(p, 1)) for p in parts]
+    shares = [s / len(p) for s, p in zip(squeezed, parts, strict=True)]
     tokens = buf.split()
     last = a[ends - 1] if len(ends) else a[:0]
     out[:] = [
@@ -49,8 +50,8 @@ def features(text: str | None) -> np.ndarray:
         strange.sum() / n, marks.max() / n, (marks > 0).sum(), count[124] / words, (n - lens.sum()) / n,
         lens.sum() / words, lens.std() if len(lens) else 0, (lens > 14).sum() / words, (lens < 4).sum() / words,
         _MARK[last].sum() / words, len(set(tokens)) / words, np.log1p(len(lines)),
-        1 - len(set(lines)) / max(1, len(lines)), n / max(1, len(lines)), squeezed / n,
-        len(zlib.compress(parts[len(parts) // 2], 1)) / len(parts[len(parts) // 2]), count[33] / words,
+        1 - len(set(lines)) / max(1, len(lines)), n / max(1, len(lines)), sum(squeezed) / n,
+        min(shares), max(shares), count[33] / words,
     ]
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veldspar.operators.graph import joined_back
 from veldspar.storage import stage
 
 #: Rows that one step of a ranking sorts together, about.
@@ -57,7 +58,8 @@ def _lookup(table: dict[tuple[int, int], int], a: Column, b: Column) -> Column:
 def propagate(nodes: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
     """Assign nodes (id, link) to shards 0 to ``shards`` - 1, with counts at most one apart; returns id, link, shard.
 
-    Nodes with the same link are linked; a null link links to nothing. The first shards come from the ids' hashes.
+    Nodes with the same link are linked; a null link links to nothing. The first shards come from the ids' hashes, so
+    the same ids are dealt alike.
     In each round every linked node wishes to go to the shard where most of its neighbours are, of those shards
     that still have unlinked nodes to give; wishes are granted up to each shard's quota, and as many unlinked
     nodes go the other way. Only link, shard and their counts are shuffled, never pairs of neighbours: a hot link
@@ -66,7 +68,7 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
     spark, rows = nodes.sparkSession, nodes.count()
     linked = nodes.where("link is not null").groupBy("link").count().where("count > 1").select(F.col("link").alias("_link"))
     start = numbered(nodes.withColumn("_all", F.lit(0)), ["_all"], "id", rows)
-    state = start.join(linked, F.col("link") == F.col("_link"), "left").select("id", "link", F.col("_link").isNotNull().alias("linked"), F.pmod("number", F.lit(shards)).cast("int").alias("shard"))
+    state = start.join(stage(linked, "links"), F.col("link") == F.col("_link"), "left").select("id", "link", F.col("_link").isNotNull().alias("linked"), F.pmod("number", F.lit(shards)).cast("int").alias("shard"))
     state = stage(state, "shards")
     full: set[int] = set()
     for _ in range(rounds):
@@ -78,7 +80,7 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
         rank = F.struct(F.col("count"), F.xxhash64("link", "shard"), "shard")
         target = counts.where(F.col("shard").isin(open_)).groupBy("link").agg(F.max(rank).alias("best")).select(F.col("link").alias("_to"), F.col("best.shard").alias("target"))
         settled = F.col("shard").isin(sorted(full)) if full else F.lit(False)
-        wish = state.join(target, (F.col("link") == F.col("_to")) & F.col("linked"), "left").withColumn("target", F.when(F.col("linked") & ~settled & (F.col("target") != F.col("shard")), F.col("target")))
+        wish = joined_back(state, "link", target, "_to", "left").withColumn("target", F.when(F.col("linked") & ~settled & (F.col("target") != F.col("shard")), F.col("target")))
         wish = stage(wish.select("id", "link", "linked", "shard", "target"), "wishes")
         wishes = {(r.shard, r.target): r["count"] for r in wish.where("target is not null").groupBy("shard", "target").count().collect()}
         if not wishes:
@@ -110,7 +112,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     """Return id_col, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs``.
 
     Law ``rows``: counts are at most one apart. Linked are documents with equal texts; null texts count as empty
-    for size and CRC and link to nothing, nor do empty ones. Rows with the same id are kept each. size: UTF-8 bytes of the text plus 1; slot: a number in the shard, gapless from 0. grown_shard
+    for size and CRC and link to nothing, nor do empty ones. Rows with the same id are kept each. A row's first shard
+    comes from its place in the staged input, so another split of the same files may deal it otherwise. size: UTF-8 bytes of the text plus 1; slot: a number in the shard, gapless from 0. grown_shard
     is null under this law. An empty table gives none.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
