@@ -93,5 +93,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, 5 * i + 1, 5))::INTEGER >> {s} & 31) + 1, 1)"
+
+#: DuckDB SQL. The other queries' results aren't SQL's to give: XXH64 bit votes (1), a fitted model (2), votes on
+#: neighbouring diagonals (3), hashed buckets (4), MinHash (6), one of many balanced assignments (8), a tokenizer (10).
+#: They are tested against brute force on small tables.
+SQL = {
+    "op5_warc": f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS original FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(range(8), lambda i: {' || '.join(_LETTER.format(s=s) for s in (15, 10, 5, 0))}), '') AS payload_digest,
+CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < original THEN original END AS refers_to FROM d""",
+    "op7_decontamination": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_ALNUM}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWERED}, {_ALNUM}) AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, s, s + 7) AS g FROM b, unnest(range(1, greatest(len(w) - 6, 2))) t(s) WHERE len(w) > 0),
+z AS (SELECT DISTINCT len(g) AS n FROM win),
+places AS (SELECT doc_id, s, n, list_slice(w, s, s + n - 1) AS g FROM d, z, unnest(range(1, len(w) - n + 2)) t(s)),
+hits AS (SELECT doc_id, item_id, s, n FROM places JOIN win USING (g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_substring": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, list_slice(w, s, s + 34) AS g FROM d, unnest(range(1, len(w) - 33)) t(s)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
