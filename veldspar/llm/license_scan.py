@@ -39,6 +39,8 @@ TEMPLATES = [
 ]
 #: Share of a template's word pairs that a span must have, and how far neighbouring diagonals may lie apart.
 COVER, DRIFT = 0.8, 2
+#: Documents with spans whose row numbers may be broadcast; of more, texts are shuffled by row number.
+BROADCAST_ROWS = 1_000_000
 #: Stands for the document itself among its hashes, so that a document without a match keeps a row.
 _ITSELF = 0
 
@@ -158,6 +160,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     span = "array<struct<template: int, label: string, base: boolean, first: long, last: long, votes: long, cover: double>>"
     marked = stage(each.mapInArrow(likely, f"row long, id {kind}, n_words long, votes {vote}"), "votes")
     candidates = marked.where("votes is not null").select("row", "votes")
-    spans_ = rows.select("row", "text").join(candidates, "row").mapInArrow(verified, f"row long, spans {span}")
+    names = candidates.select("row")
+    held = rows.select("row", "text").join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, "row", "left_semi")
+    spans_ = held.join(candidates, "row").mapInArrow(verified, f"row long, spans {span}")
     out = marked.select("row", "id", "n_words").join(spans_, "row", "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", F.array().cast(span)).alias("spans"))
     return out
