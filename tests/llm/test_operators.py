@@ -94,10 +94,11 @@ def test_simhash_tiles(spark, monkeypatch):
     assert components(prints, [(r.src, r.dst) for r in links]) == want
 
 
-def test_substring(docs, none):
+@pytest.mark.parametrize("hash_bits", [64, 3])
+def test_substring(docs, none, hash_bits):
     words = {i: SPACE.findall(t or "") for i, t in enumerate(texts())}
     count = collections.Counter(tuple(w[s : s + 35]) for w in words.values() for s in range(len(w) - 34))
-    got = rows(substring.remove_repeats(docs, texts=True))
+    got = rows(substring.remove_repeats(docs, texts=True, hash_bits=hash_bits))
     for i, w in words.items():
         hit = np.zeros(len(w), bool)
         for s in range(len(w) - 34):

@@ -13,7 +13,7 @@ from veldspar.llm._text import U64, gram_hashes, spans, word_hashes
 from veldspar.operators.graph import joined_back
 from veldspar.storage import stage
 
-_SUM_SCHEMA = "n_words long, whole long, kept_sha256 string, anchors array<long>"
+_SUM_SCHEMA = "n_words long, whole binary, kept_sha256 string, anchors array<long>"
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -35,20 +35,23 @@ class Winnow:
     """Anchors are word runs of ``k`` words: in each window of ``length`` words that of least hash is one, so two
     equal windows have an anchor at the same place."""
 
-    def __init__(self, length: int):
+    def __init__(self, length: int, bits: int = 64):
         if length < 2:
             raise ValueError("length must be 2 at least")
-        self.length, self.k = length, max(1, length // 2 - 1)
+        self.length, self.k, self.mask = length, max(1, length // 2 - 1), U64((1 << bits) - 1)
         self.runs = length - self.k + 1
 
+    def grams(self, h: np.ndarray, k: int) -> np.ndarray:
+        return gram_hashes(h, k) & self.mask
+
     def least(self, h: np.ndarray) -> np.ndarray:
         """For each window, the hash of its anchor."""
-        grams = gram_hashes(h, self.k)
+        grams = self.grams(h, self.k)
         return _slide(grams, self.runs, np.minimum) if len(h) >= self.length else grams[:0]
 
     def anchors(self, h: np.ndarray) -> np.ndarray:
         """The hashes of all anchors, one for each place."""
-        grams = gram_hashes(h, self.k)
+        grams = self.grams(h, self.k)
         if len(h) < self.length:
             return grams[:0]
         least = _slide(grams, self.runs, np.minimum)
@@ -67,6 +70,11 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(low, rows)
 
 
+def _name(words: bytes) -> bytes:
+    """128 bits that stand for the words themselves."""
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -78,7 +86,7 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
     return joined_back(rows, key, counts, "_key")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, texts: bool = False, hash_bits: int = 64) -> DataFrame:
     """Return id_col, n_words, n_removed, kept_sha256 and, if asked for, kept_text for each row of ``docs``.
 
     A word is removed if a window of ``length`` consecutive words covers it whose words also start anywhere else,
@@ -88,9 +96,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the seeds extend both ways as far as windows repeat. Documents with the same words go through this once, by
     one of them; all windows of theirs repeat. What is shuffled: anchors (a tenth of the words), windows around
     seeds, and documents with seeds. Null and empty texts have no words. Rows with one id are kept each. Texts are
-    processed whole; an empty table gives none. Equality is by 64-bit hashes.
+    processed whole; an empty table gives none.
+
+    Hashes of ``hash_bits`` only find windows that may repeat; a window is removed if the words of another, by a
+    cryptographic digest of 128 bits, are the same. Fewer bits mean more of those comparisons and the same result.
     """
-    win = Winnow(length)
+    win = Winnow(length, hash_bits)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
@@ -101,9 +112,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 joined = b" ".join(words)
                 counts.append(len(words))
                 shas.append(hashlib.sha256(joined).hexdigest())
-                wholes.append(int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little", signed=True))
+                wholes.append(_name(joined))
                 anchors.append(win.anchors(h).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, type=pa.int64()), pa.array(wholes, type=pa.int64()), pa.array(shas), _lists(anchors)], names=["row", "n_words", "whole", "kept_sha256", "anchors"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, type=pa.int64()), pa.array(wholes, type=pa.binary()), pa.array(shas), _lists(anchors)], names=["row", "n_words", "whole", "kept_sha256", "anchors"])
 
     rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "texts")
     sums = stage(rows.select("row", "text").mapInArrow(summed, f"row long, {_SUM_SCHEMA}"), "anchors")
@@ -119,14 +130,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 _, _, _, h = _words(text.as_py())
                 at = np.flatnonzero(np.isin(win.least(h), seeds_.values.to_numpy().view(U64)))
                 starts_.append(at.astype(np.int64))
-                hashes.append(gram_hashes(h, length)[at].view(np.int64))
+                hashes.append(win.grams(h, length)[at].view(np.int64))
                 texts_.append(text)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(starts_), _lists(hashes)], names=["row", "text", "starts", "hashes"])
 
     seeded = stage(rows.select("row", "text").join(seeds.hint("shuffle_hash"), "row").mapInArrow(extended, "row long, text string, starts array<long>, hashes array<long>"), "windows")
     places = seeded.select("row", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("row", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
+    maybe = _repeated(places, "hash").groupBy("row").agg(F.collect_list("start").alias("maybe"))
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, 64):
+            for row, text, at in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
+                words, at = text.as_py().encode("utf-8", "surrogatepass").split(), at.values.to_numpy()
+                for low in range(0, len(at), 1 << 16):
+                    some = at[low : low + (1 << 16)]
+                    names = [_name(b" ".join(words[i : i + length])) for i in some.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row, dtype=np.int64)), pa.array(some), pa.array(names, type=pa.binary())], names=["row", "start", "words"])
+
+    named = stage(seeded.select("row", "text").join(maybe.hint("shuffle_hash"), "row").mapInArrow(spelt, "row long, start long, words binary"), "spelt")
     own = marked.where("row = first").select("row")
-    found = _repeated(places, "hash").join(own.hint("shuffle_hash"), "row", "left_anti").groupBy("row").agg(F.collect_list("start").alias("found"))
+    found = _repeated(named, "words").join(own.hint("shuffle_hash"), "row", "left_anti").groupBy("row").agg(F.collect_list("start").alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 64):
