@@ -100,6 +100,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Hashes of ``hash_bits`` only find windows that may repeat; a window is removed if the words of another, by a
     cryptographic digest of 128 bits, are the same. Fewer bits mean more of those comparisons and the same result.
+    Windows that a clash of hashes brought this far stand alone; they are few, and so they are what is joined back.
     """
     win = Winnow(length, hash_bits)
 
@@ -149,7 +150,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named = stage(seeded.select("row", "text").join(maybe.hint("shuffle_hash"), "row").mapInArrow(spelt, "row long, start long, words binary"), "spelt")
     own = marked.where("row = first").select("row")
-    found = _repeated(named, "words").join(own.hint("shuffle_hash"), "row", "left_anti").groupBy("row").agg(F.collect_list("start").alias("found"))
+    alone = stage(named.groupBy("words").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("words"), "alone")
+    found = named.join(alone, "words", "left_anti").join(own.hint("shuffle_hash"), "row", "left_anti").groupBy("row").agg(F.collect_list("start").alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 64):
