@@ -120,7 +120,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "texts")
     sums = stage(rows.select("row", "text").mapInArrow(summed, f"row long, {_SUM_SCHEMA}"), "anchors")
     copies = sums.where(F.col("n_words") >= length).groupBy("whole").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = stage(sums.select("row", "whole").join(copies.withColumnRenamed("whole", "_whole"), F.col("whole") == F.col("_whole")).select("row", "first"), "copies")
+    marked = stage(joined_back(sums.select("row", "whole"), "whole", copies.withColumnRenamed("whole", "_whole"), "_whole").select("row", "first"), "copies")
     once = sums.select("row", "anchors").join(marked.where("row <> first").select("row"), "row", "left_anti")
     seeds = _repeated(once.select("row", F.explode("anchors").alias("anchor")), "anchor").groupBy("row").agg(F.collect_set("anchor").alias("seeds"))
 
