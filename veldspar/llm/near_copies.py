@@ -1,4 +1,5 @@
-"""Near-copies of documents by the Jaccard similarity of their word shingles: an exact set join by prefixes."""
+"""Near-copies of documents by the Jaccard similarity of their word shingles: SimHash clusters, compared exactly, and an
+exact set join by prefixes for pairs that the fingerprints keep apart."""
 
 from __future__ import annotations
 
@@ -11,11 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from veldspar.llm._buckets import by_group, dealt, forest, released, sorted_groups
 from veldspar.llm._text import LOWER, U64, gram_hashes, mix, spans, word_hashes
+from veldspar.llm.simhash import hamming_links, set_print
 from veldspar.operators.graph import connected_components
 from veldspar.storage import stage
 
 #: Words of a shingle, and the least similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints that differ in so many bits at most are linked.
+DISTANCE = 8
 #: Rows that are compared with a whole bucket at once, and cells of a table of shingles.
 ROWS, CELLS = 1024, 1 << 20
 
@@ -112,20 +116,26 @@ def _buckets(similarity: float):
 
 
 def _close(similarity: float):
-    """Of each group those parts, as (bucket, fp), that the sketches don't tell from near copies."""
+    """Of each group those parts, as (bucket, fp), that the sketches don't tell from near copies, by pairs of
+    different clusters: those of one are compared there."""
 
     def run(batches):
         for table in sorted_groups(batches, 1 << 10):
-            group, fp, size, held = *(table.column(c).to_numpy() for c in ("group", "fp", "size")), table.column("sketch")
+            group, fp, size, cluster, held = *(table.column(c).to_numpy() for c in ("group", "fp", "size", "cluster")), table.column("sketch")
             starts = [*np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist(), len(fp)]
             for low, high in zip(starts, starts[1:], strict=False):
                 names, at = np.unique(fp[low:high], return_index=True)
                 order = np.argsort(size[low + at], kind="stable")
                 names, at = names[order], low + at[order]
                 links, count = [], 0
+                if (cluster[at] == cluster[at[0]]).all():
+                    continue
                 for i, j in maybe_near([np.frombuffer(held[int(k)].as_py(), dtype="<u2") for k in at], size[at].astype(np.int64), similarity):
-                    links.append((names[i], names[j]))
-                    count += len(i)
+                    apart = cluster[at[i]] != cluster[at[j]]
+                    if not apart.any():
+                        continue
+                    links.append((names[i[apart]], names[j[apart]]))
+                    count += int(apart.sum())
                     if count > 1 << 20:
                         links, count = [forest(*map(np.concatenate, zip(*links, strict=True)))], 0
                 if links:
@@ -161,12 +171,41 @@ def _compared(similarity: float):
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, ngram: int = SHINGLE) -> DataFrame:
+def clustered(named: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``named`` with column ``cluster``: sets whose SimHash fingerprints, column ``print``, are reached over links of
+    at most ``distance`` differing bits share one. Pigeonhole blocks find all such links."""
+    roots = connected_components(hamming_links(named.where("size > 0").select(F.col("print").alias("fp")).distinct(), distance))
+    return stage(named.join(roots, named.print == roots.node, "left").select(*named.columns, F.coalesce("component", "print").alias("cluster")), "clusters")
+
+
+def within(named: DataFrame) -> DataFrame:
+    """Groups (group, fp) in which each two sets of a cluster meet."""
+    many = stage(named.where("size > 0").groupBy(F.col("cluster").alias("many")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "many")
+    members = named.where("size > 0").join(many, F.col("cluster") == F.col("many")).select("fp", "cluster")
+    return dealt(members, "cluster", "fp").select("group", "fp")
+
+
+def across(staged: DataFrame, named: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Groups (group, fp) in which each two sets of different clusters that have the similarity meet."""
+    rows = staged.join(named.select("fp", F.col("least").alias("id")).hint("shuffle_hash"), ["fp", "id"], "left_semi")
+    members = stage(by_group(dealt(rows.select("fp", "size", F.explode("keys").alias("key")), "key", "fp"), [], _buckets(similarity), "bucket long, fp long"), "members").distinct()
+
+    # most buckets only share a passage: sketches, far smaller than the sets, tell those before sets are sent
+    wanted = named.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("least").alias("id"), "cluster")
+    sketched = staged.select("id", "fp", "size", "sketch").join(wanted, ["fp", "id"]).select("fp", "size", "sketch", "cluster")
+    found = by_group(members.join(sketched, "fp").select(F.col("bucket").alias("group"), "fp", "size", "sketch", "cluster"), [], _close(similarity), "bucket long, fp long")
+    return found.distinct().select(F.col("bucket").alias("group"), "fp")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, ngram: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """Return (id_col, component_id) for each row: the smallest id reachable over pairs of texts whose sets of word
     shingles have at least the similarity.
 
-    No pair is missed but by a clash of 64-bit hashes. Texts without words (null, empty, white space) are copies of
-    each other. Rows with a null id must not be given. Equal sets cost one row beyond the first table.
+    SimHash fingerprints of the sets give clusters, and all pairs of a cluster are compared by their sets. Pairs that
+    have the similarity though their fingerprints are far apart come from a set join by prefixes, which leaves out
+    the pairs of one cluster. No pair is missed but by a clash of 64-bit hashes. Texts without words (null, empty,
+    white space) are copies of each other. Rows with a null id must not be given. Equal sets cost one row beyond the
+    first table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -178,18 +217,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sets = [shingle_set(t.as_py(), ngram) for t in part.column(1)]
                 keys = [prefix(s, similarity) if len(s) else s for s in sets]
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys).view(np.int64)))
-                names = pa.array(list(map(set_name, sets)), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), names, pa.array(list(map(len, sets)), pa.int32()), lists, pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["id", "fp", "size", "keys", "sketch"])
+                names, prints = pa.array(list(map(set_name, sets)), pa.int64()), pa.array(list(map(set_print, sets)), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), names, pa.array(list(map(len, sets)), pa.int32()), prints, lists, pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["id", "fp", "size", "print", "keys", "sketch"])
 
-    staged = stage(texts.mapInArrow(released(keyed), f"id {kind}, fp long, size int, keys array<long>, sketch binary"), "near")
-    named = stage(staged.groupBy("fp").agg(F.min("id").alias("least")), "sets")
-    rows = staged.join(named.select("fp", F.col("least").alias("id")).hint("shuffle_hash"), ["fp", "id"], "left_semi")
-    members = stage(by_group(dealt(rows.select("fp", "size", F.explode("keys").alias("key")), "key", "fp"), [], _buckets(similarity), "bucket long, fp long"), "members").distinct()
-
-    # most buckets only share a passage: sketches, far smaller than the sets, tell those before sets are sent
-    wanted = named.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("least").alias("id"))
-    sketched = staged.join(wanted, ["fp", "id"], "left_semi").select("fp", "size", "sketch")
-    close = stage(by_group(members.join(sketched, "fp").select(F.col("bucket").alias("group"), "fp", "size", "sketch"), [], _close(similarity), "bucket long, fp long").distinct(), "close")
+    staged = stage(texts.mapInArrow(released(keyed), f"id {kind}, fp long, size int, print long, keys array<long>, sketch binary"), "near")
+    named = clustered(stage(staged.groupBy("fp").agg(F.min("id").alias("least"), F.min("size").alias("size"), F.min("print").alias("print")), "sets"), distance)
+    close = stage(within(named).unionByName(across(staged, named, similarity)), "close")
     wanted = stage(named.join(close.select("fp").distinct(), "fp", "left_semi").select("least"), "wanted")
 
     def fetched(batches):
@@ -200,7 +233,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = texts.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("least"), "left_semi").select("text")
     held = found.mapInArrow(released(fetched), "held_fp long, shingles binary")
-    dealt_sets = close.join(held, F.col("fp") == F.col("held_fp")).select(F.col("bucket").alias("group"), "fp", "shingles")
+    dealt_sets = close.join(held, F.col("fp") == F.col("held_fp")).select("group", "fp", "shingles")
     roots = connected_components(by_group(dealt_sets, [], _compared(similarity), "src long, dst long").distinct())
 
     rooted = named.join(roots, named.fp == roots.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))

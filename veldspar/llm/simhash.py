@@ -20,6 +20,23 @@ SEED = 42
 _CHUNK = 1 << 15
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def set_print(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of a set of shingles by their hashes; 0 for the empty set."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += _ones(hashes[at : at + _CHUNK].astype("<u8"))
+    return _majority(ones, len(hashes))
+
+
 def simhash(text: str | None, n: int = 3) -> int:
     """The signed 64-bit fingerprint of a whole text's word shingles, with repeats; 0 for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -34,8 +51,8 @@ def simhash(text: str | None, n: int = 3) -> int:
     for at in range(0, len(starts), _CHUNK):
         s, e = starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist()
         h = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, s, e)), repeat(SEED)), dtype="<u8", count=len(s))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
+        ones += _ones(h)
+    return _majority(ones, len(starts))
 
 
 def fingerprint(text: Column | str, n: int = 3) -> Column:
