@@ -192,6 +192,20 @@ def test_word_encoder():
         assert e(s) == np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_lines_of_no_bucket_are_not_fetched(spark, monkeypatch):
+    rng = random.Random(5)
+    h = [rng.getrandbits(64) for _ in range(4000)]
+    some = spark.createDataFrame([(x - (x >> 63 << 64),) for x in h[:1000]], "h long")
+    for bits in (line_dedup.FILTER_BITS, 1 << 10):  # all that are wanted pass, also where the bitmap may not grow
+        monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
+        words, shift = line_dedup.hash_filter(some)
+        passed = line_dedup.passing(words, shift, np.array(h, dtype=np.uint64)).tolist()
+        assert set(range(1000)) <= set(passed) and 64 * len(words) <= bits
+        assert bits == 1 << 10 or len(passed) < 1500
+    words, shift = line_dedup.hash_filter(some.where("false"))
+    assert not len(line_dedup.passing(words, shift, np.array(h, dtype=np.uint64)))
+
+
 def test_sharding(docs, none):
     got = rows(sharding.shard(docs))
     counts = collections.Counter(r.shard for r in got.values())

@@ -21,6 +21,8 @@ SHINGLE, BANDS, ROWS = 8, 12, 4
 SIMILARITY = 0.8
 #: Groups of more lines are compared some rows at a time; smaller ones all at once, in tables of so many cells.
 AT_ONCE, CELLS = 1024, 1 << 20
+#: Bits of a filter for each line that shares a bucket, and its bits at most: 16 MB.
+FILTER, FILTER_BITS = 8, 1 << 27
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -136,6 +138,24 @@ def _longs(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=U64).view(np.int64))
 
 
+def hash_filter(hashes: DataFrame, name: str = "h") -> tuple[np.ndarray, int]:
+    """64-bit words of a bitmap, and by how much hashes are shifted to get the number of their bit: each of the
+    ``hashes`` has its bit set. Of other hashes few pass, or more where the bitmap has its largest size."""
+    count = hashes.count()
+    bits = min(max(6, (FILTER * count - 1).bit_length()), FILTER_BITS.bit_length() - 1)
+    slot = F.shiftrightunsigned(name, 64 - bits)
+    rows = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - bits}) & 63 as int))")).alias("word"))
+    found, words = rows.toArrow(), np.zeros(1 << (bits - 6), dtype=np.int64)
+    words[found.column("at").to_numpy()] = found.column("word").to_numpy()
+    return words.view(U64), 64 - bits
+
+
+def passing(words: np.ndarray, shift: int, hashes: np.ndarray) -> np.ndarray:
+    """Indices of the hashes whose bit is set."""
+    slot = hashes >> U64(shift)
+    return np.flatnonzero(words[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63)) & U64(1))
+
+
 def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Links (src, dst) between hashes of distinct lines, as few as connect all pairs that share a band and whose
     shingle sets have at least the similarity.
@@ -172,15 +192,19 @@ def line_links(docs: DataFrame, text_col: str = "text", similarity: float = SIMI
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, counts)[many].view(np.int64)), pa.array(h[many])], names=["bucket", "h"])
 
     members = stage(by_group(dealt(bands, "key", "h"), [], buckets, "bucket long, h long"), "members").distinct()
+    wanted = stage(members.select("h").distinct(), "wanted")
+    words, shift = hash_filter(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def fetched(batches):
-        for hashes, lines in _new_lines(batches):
-            yield pa.RecordBatch.from_arrays([_longs(hashes), pa.array(lines, type=pa.binary())], names=["line_h", "line"])
+        for hashes, lines in _new_lines(batches):  # most lines are in no bucket: a filter keeps them out of the shuffle
+            at = passing(shared.value, shift, np.array(hashes, dtype=U64)).tolist()
+            yield pa.RecordBatch.from_arrays([_longs([hashes[i] for i in at]), pa.array([lines[i] for i in at], type=pa.binary())], names=["line_h", "line"])
 
     lines = texts.mapInArrow(released(fetched), "line_h long, line binary")
     # each task that met a line has sent it: one copy of it goes on to its buckets
-    wanted = lines.join(members.select("h").distinct(), F.col("line_h") == F.col("h"), "left_semi").dropDuplicates(["line_h"])
-    rows = members.join(wanted, F.col("h") == F.col("line_h")).select(F.col("bucket").alias("group"), "h", "line")
+    found = lines.join(wanted, F.col("line_h") == F.col("h"), "left_semi").dropDuplicates(["line_h"])
+    rows = members.join(found, F.col("h") == F.col("line_h")).select(F.col("bucket").alias("group"), "h", "line")
 
     def compared(batches):
         for table in sorted_groups(batches, 1 << 12):
@@ -249,7 +273,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             parts, kept, used = t.split("\n"), [], set()
             for part, line in zip(parts, _lines(t), strict=True):
                 if line:
-                    h = int(np.uint64(line_hash(line)).view(np.int64))
+                    h = line_hash(line)
+                    h -= h >> 63 << 64  # signed, as in the table
                     root, stays = known.get(h, (h, True))
                     if not stays or root in used:
                         continue
