@@ -192,6 +192,15 @@ def test_word_encoder():
         assert e(s) == np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_word_encoder_learns_plain_words_without_splitting(monkeypatch):
+    e = packing.WordEncoder(word_tokenizer())
+    want = [e._encode(s).tobytes() for s in ("Straße ÉTÉ word", "it's a x-y İo 3")]
+    asked, split = [], e.split
+    monkeypatch.setattr(e, "split", lambda w: asked.append(w) or split(w))
+    assert [e("Straße ÉTÉ word"), e("it's a x-y İo 3")] == want
+    assert sorted(asked) == sorted(["it's", "x-y", "İo".lower(), "3"])
+
+
 def test_lines_of_no_bucket_are_not_fetched(spark, monkeypatch):
     rng = random.Random(5)
     h = [rng.getrandbits(64) for _ in range(4000)]

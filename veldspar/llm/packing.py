@@ -17,7 +17,7 @@ from veldspar.llm._buckets import released
 BLOCK_TOKENS = 1 << 20
 #: Words, and parts of words, whose ids a worker remembers before it forgets all but those it met first, among them
 #: the frequent ones. This bounds memory and has no bearing on the ids.
-REMEMBERED, LASTING = 450_000, 200_000
+REMEMBERED, LASTING = 720_000, 320_000
 #: White space for str.split() but not for the tokenizer; a text with these is encoded whole.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Below this letter, lower-casing is letter by letter and no letters combine.
@@ -58,12 +58,12 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         self.parts = forgetful(self.parts)
         plain = [w for w in words if max(w) < _PLAIN and "<|" not in w]
-        split = [self.split("".join(map(str.lower, w)) if not w.isascii() else w.lower()) for w in plain]
+        split = [[low] if low.isalpha() else self.split(low) for low in map(str.lower, plain)]
         new = list({p for parts in split for p in parts}.difference(self.parts))
         if new:
             self._learn_parts(new)
         part = self.parts.__getitem__
-        self.known.update((w, b"".join(map(part, parts))) for w, parts in zip(plain, split, strict=True))
+        self.known.update((w, part(parts[0]) if len(parts) == 1 else b"".join(map(part, parts))) for w, parts in zip(plain, split, strict=True))
         self.known.update((w, self._encode(w).tobytes()) for w in words.difference(plain))
 
     def __call__(self, text: str) -> bytes:
