@@ -201,6 +201,35 @@ def test_word_encoder_learns_plain_words_without_splitting(monkeypatch):
     assert sorted(asked) == sorted(["it's", "x-y", "İo".lower(), "3"])
 
 
+def test_workers_forget_what_other_operators_learnt(monkeypatch):
+    import pandas as pd
+    from pyspark import cloudpickle
+
+    from veldspar.llm import _buckets
+
+    def task(module):
+        def run(batches):
+            yield from batches
+
+        run.__module__ = module
+        return lambda: list(cloudpickle.loads(cloudpickle.dumps(_buckets.released(run)))([]))  # as a worker gets it
+
+    udfs = []
+    monkeypatch.setattr(quality.F, "pandas_udf", lambda kind: lambda f: udfs.append(f) or (lambda *columns: None))
+    monkeypatch.setattr(quality.F, "col", lambda name: name)
+    quality.feature_column("text")
+    model = quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))
+    quality.score(type("Frame", (), {"withColumn": lambda *given: None})(), model)
+    others = [task(line_dedup.__name__), *[lambda f=cloudpickle.loads(cloudpickle.dumps(f)): f(pd.Series(["a text"])) for f in udfs]]
+    assert len(others) == 3
+    for other in others:
+        packing.encoder(word_tokenizer())
+        task(packing.__name__)()
+        assert packing._ENCODERS  # what one task of packing has learnt serves the next
+        other()
+        assert not packing._ENCODERS
+
+
 def test_lines_of_no_bucket_are_not_fetched(spark, monkeypatch):
     rng = random.Random(5)
     h = [rng.getrandbits(64) for _ in range(4000)]

@@ -173,6 +173,22 @@ def test_components(spark):
     assert got == root
 
 
+def test_components_write_small_tables_to_few_files(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)], "src long, dst long")
+    want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+    for links, most in ((1 << 16, 1), (30, 3)):  # 79 links
+        monkeypatch.setattr(graph, "LINKS_A_FILE", links, raising=False)
+        staged = []
+        monkeypatch.setattr(graph, "stage", lambda df, label: staged.append(storage.stage(df, label)) or staged[-1])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert {r.node: r.component for r in graph.connected_components(edges).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        files = [len(df.inputFiles()) for df in staged[1:]]  # the first table's links aren't counted yet
+        assert len(files) > 5 and max(files) <= most
+
+
 def test_prompt(spark):
     row = spark.range(1).select(T.prompt(F.lit("Tech"), F.lit(0.5), F.array(F.struct(F.lit("c_1").alias("id")))).alias("p")).first()
     assert "Label: Tech\nScore: 0.5000" in row.p and '[{"id":"c_1"}]' in row.p and row.p.endswith('{"rationale": "..."}')

@@ -92,10 +92,29 @@ def neighbours(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lag += 1
 
 
+#: What a worker remembers from task to task, by the module that learns it.
+_MEMORIES: dict[str, dict] = {}
+
+
+def memory(module: str) -> dict:
+    """The worker's memory for the tasks of ``module``; it lasts until a task of another module begins."""
+    return _MEMORIES.setdefault(module, {})
+
+
+def forget_others(module: str) -> None:
+    """Empty what the tasks of other modules have remembered: a worker may serve any operator's next."""
+    for name, known in _MEMORIES.items():
+        if name != module:
+            known.clear()
+
+
 def released(run: Callable) -> Callable:
-    """``run`` for mapInArrow; a worker, which later tasks and stages use again, then hands freed memory back."""
+    """``run`` for mapInArrow; a worker, which later tasks and stages use again, first forgets what other operators
+    remember there and then hands freed memory back."""
+    module = run.__module__
 
     def then(batches):
+        forget_others(module)
         try:
             yield from run(batches)
         finally:

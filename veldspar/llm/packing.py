@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from veldspar.llm._buckets import released
+from veldspar.llm._buckets import memory, released
 
 #: Tokens whose packing is decided together: 512 sequences of 2,048.
 BLOCK_TOKENS = 1 << 20
@@ -85,8 +85,8 @@ def forgetful(known: dict, more: int = 0) -> dict:
     return dict(islice(known.items(), LASTING)) if len(known) + more > REMEMBERED else known
 
 
-#: A worker's encoders by path: what one task has learnt serves the next.
-_ENCODERS: dict[str, Callable[[str], bytes]] = {}
+#: A worker's encoders by path: what one task has learnt serves the next, until another operator has the worker.
+_ENCODERS: dict[str, Callable[[str], bytes]] = memory(__name__)
 
 
 #: Texts on which a tokenizer must agree with WordEncoder's way of taking words apart.

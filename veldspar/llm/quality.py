@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from veldspar.llm._buckets import forget_others
 from veldspar.llm._columns import free
 from veldspar.llm._text import NOT_SPACE, spans
 
@@ -59,6 +60,7 @@ def features(text: str | None) -> np.ndarray:
 def feature_column(text: Column | str) -> Column:
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(texts: pd.Series) -> pd.Series:
+        forget_others(__name__)
         return pd.Series([features(t) for t in texts])
 
     return run(text)
@@ -212,6 +214,7 @@ def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", into: s
 
     @F.pandas_udf(DoubleType())
     def run(texts: pd.Series) -> pd.Series:
+        forget_others(__name__)
         return pd.Series(model.scores(np.stack([features(t) for t in texts]))) if len(texts) else pd.Series([], dtype=float)
 
     return docs.withColumn(into, run(F.col(text_col)))
