@@ -68,6 +68,15 @@ def test_clusters_without_pairs(spark, no_pairs, name):
     assert run(spark, name).count() >= 1
 
 
+def test_percentiles(spark, no_pairs, similar):
+    row = run(spark, "similarity_percentiles").first()
+    assert row.n == len(similar) and row["mean"] == pytest.approx(similar.mean(), abs=1e-8)
+    assert [row[f"p{i}"] for i in range(4)] == pytest.approx(np.quantile(similar, evidence._QS).tolist(), abs=1e-7)
+    x = np.repeat(np.eye(2), [3, 2], axis=0)  # four pairs of 1 and six of 0
+    assert V.percentiles(table(spark, x), [0.0, 0.6, 2 / 3, 1.0]) == (10, pytest.approx(0.4), [0.0, pytest.approx(0.4), 1.0, 1.0])
+    assert V.percentiles(table(spark, x[:1]), [0.5]) == (0, None, [None])
+
+
 def test_copies_of_a_vector_in_the_shuffle(spark):
     few = spark.range(200_000).select("id", F.array(F.lit(1.0)).alias("vector"))
     assert V._groups(few) == V.SPREAD
