@@ -77,6 +77,10 @@ def test_percentiles(spark, no_pairs, similar):
     assert V.percentiles(table(spark, x[:1]), [0.5]) == (0, None, [None])
 
 
+def test_threshold_counts(spark, no_pairs, similar):
+    assert {r.threshold: r.n for r in run(spark, "threshold_counts").collect()} == {t: int((similar >= t).sum()) for t in evidence._TS}
+
+
 def test_copies_of_a_vector_in_the_shuffle(spark):
     few = spark.range(200_000).select("id", F.array(F.lit(1.0)).alias("vector"))
     assert V._groups(few) == V.SPREAD
