@@ -81,6 +81,10 @@ def test_threshold_counts(spark, no_pairs, similar):
     assert {r.threshold: r.n for r in run(spark, "threshold_counts").collect()} == {t: int((similar >= t).sum()) for t in evidence._TS}
 
 
+def test_pair_count(spark, no_pairs, similar):
+    assert tuple(run(spark, "pair_count_contract").first()) == (500, len(similar), len(similar), 0)
+
+
 def test_copies_of_a_vector_in_the_shuffle(spark):
     few = spark.range(200_000).select("id", F.array(F.lit(1.0)).alias("vector"))
     assert V._groups(few) == V.SPREAD
