@@ -85,6 +85,11 @@ def test_pair_count(spark, no_pairs, similar):
     assert tuple(run(spark, "pair_count_contract").first()) == (500, len(similar), len(similar), 0)
 
 
+def test_histogram(spark, no_pairs, similar):
+    bins, n = np.unique(np.floor((similar + 1) / 0.05).astype(int), return_counts=True)
+    assert {r.bin: r.n for r in run(spark, "similarity_histogram").collect()} == dict(zip(bins.tolist(), n.tolist(), strict=True))
+
+
 def test_copies_of_a_vector_in_the_shuffle(spark):
     few = spark.range(200_000).select("id", F.array(F.lit(1.0)).alias("vector"))
     assert V._groups(few) == V.SPREAD
