@@ -118,3 +118,15 @@ def test_all_pairs_come_in_runs(spark):
     assert len(rows) == 1300 * 1299 // 2 and not rows.duplicated(["a", "b"]).any() and (rows["a"] < rows["b"]).all()
     runs = sum(int((part["a"].to_numpy()[1:] != part["a"].to_numpy()[:-1]).sum()) for _, part in rows.groupby("part"))
     assert runs < len(rows) / 100
+
+
+def test_penalties_share_passes(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 3))
+    v = table(spark, x)
+    known = spark.createDataFrame([(i, "A") for i in range(200) if x[i, 0] + 0.5 * rng.standard_normal() > 0] + [(i, "B") for i in range(0, 200, 7)], "id long, persona string")
+    both = {(r.c, r.persona): [*r.weights, r.intercept] for r in logistic.fit_each(v, known, ["A", "B", "C"], [0.3, 3.0]).collect()}
+    assert set(both) == {(c, p) for c in (0.3, 3.0) for p in "AB"}
+    for c in (0.3, 3.0):
+        for r in logistic.fit(v, known, ["A", "B"], c).collect():
+            assert both[c, r.persona] == pytest.approx([*r.weights, r.intercept], abs=1e-8)
