@@ -120,6 +120,22 @@ def test_all_pairs_come_in_runs(spark):
     assert runs < len(rows) / 100
 
 
+def test_neighbours_are_found_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            asked.add(1)
+            yield r
+
+    near = spark.createDataFrame(spark.createDataFrame([(1, 2, 0.5, 1), (1, 3, 0.25, 2)], "query long, id long, similarity double, rank int").rdd.mapPartitions(counted), "query long, id long, similarity double, rank int")
+    known, names = spark.createDataFrame([(2, "A"), (3, "B")], "id long, persona string"), spark.createDataFrame([("A",), ("B",)], "persona string")
+    got = {r.persona: r.score for r in decide.knn_scores(near, known, names, 2).collect()}
+    assert got == {"A": pytest.approx(2 / 3), "B": pytest.approx(1 / 3)} and asked.value == 2
+    decide.knn_grid(near, known, names, [1, 2], [1, 2]).collect()
+    assert asked.value == 4
+
+
 def test_penalties_share_passes(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((200, 3))
